@@ -114,20 +114,24 @@ def with_availability(leads: DataFrame, bridge: DataFrame) -> DataFrame:
     ).drop("hay")
 
 
-def assign_models(leads: DataFrame, catalogue: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leads with sku, brand, score and availability, log of unmatched models)."""
+def assign_models(leads: DataFrame, catalogue: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Leads with sku, brand, score, rule and availability."""
     found = match_texts(leads, "modelo_texto_original", catalogue).select(
         "modelo_texto_original", F.col("sku").alias("sku_interes"), F.col("marca").alias("marca_interes"),
         F.col("puntaje").alias("match_modelo_score"), "regla",
     )
     df = leads.join(found, "modelo_texto_original", "left").withColumn("regla", F.coalesce("regla", F.lit("modelo_faltante")))
+    return with_availability(df, bridge)
+
+
+def model_log(matched: DataFrame) -> DataFrame:
+    """Log of the leads whose model is ambiguous, missing or unknown."""
     rule = F.col("regla")
     action = (
         F.when(rule == "modelo_ambiguo", F.concat(F.lit("solo marca "), F.col("marca_interes")))
         .when(rule == "modelo_faltante", "sin modelo").otherwise("sin SKU ni marca")
     )
-    log = log_of(df, LEADS_FILE, F.col("lead_id"), F.col("empresa_id"), [
+    return log_of(matched, LEADS_FILE, F.col("lead_id"), F.col("empresa_id"), [
         problem(rule.isin("modelo_ambiguo", "modelo_faltante", "sin_coincidencia"), "modelo_interes_texto", rule,
                 F.col("modelo_texto_original"), action),
     ])
-    return with_availability(df, bridge), log

@@ -13,11 +13,11 @@ LOG_COLUMNS = ("archivo", "registro_id", "campo", "tipo", "valor_original", "acc
 LEADS_FILE, CHATS_FILE = "leads.csv", "conversaciones.json"
 
 
-def problem(when: Column, field: str, kind: Column | str, original: Column | None, action: Column | str) -> Column:
+def problem(when: Column, field: Column | str, kind: Column | str, original: Column | None, action: Column | str) -> Column:
     """A log entry where `when` holds, NULL elsewhere."""
     text = F.lit(None).cast("string") if original is None else original.cast("string")
     return F.when(when, F.struct(
-        F.lit(field).alias("campo"),
+        (F.lit(field) if isinstance(field, str) else field).alias("campo"),
         (F.lit(kind) if isinstance(kind, str) else kind).alias("tipo"),
         text.alias("valor_original"),
         (F.lit(action) if isinstance(action, str) else action).alias("accion"),

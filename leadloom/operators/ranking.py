@@ -1,7 +1,7 @@
 """Exact positions inside groups of any size.
 
 A plain window sorts a whole group in one task. Here a group is cut into buckets that follow the
-sort order (`levels`, from coarse to fine); only bucket sizes are accumulated per group, and rows
+sort order (`levels`, from coarse to fine); only bucket sizes are accumulated over a group, and rows
 are sorted inside their own bucket. A group with a third of all rows is spread over its buckets.
 """
 
@@ -19,27 +19,6 @@ def _sort(name: str, ascending: bool) -> Column:
     return F.col(name).asc() if ascending else F.col(name).desc()
 
 
-def _offsets(sizes: DataFrame, group: Sequence[str], levels: Sequence[tuple[str, bool]],
-             sums: Sequence[str]) -> DataFrame:
-    """For every bucket, the sums of `sums` over the buckets of its group that come before it."""
-    keys = [*group, *(name for name, _ in levels)]
-    out = sizes.select(*keys)
-    for depth, (name, ascending) in enumerate(levels):
-        parent = [*group, *(n for n, _ in levels[:depth])]
-        before = Window.partitionBy(*parent).orderBy(_sort(name, ascending)).rowsBetween(Window.unboundedPreceding, -1)
-        level = (
-            sizes.groupBy(*parent, name).agg(*(F.sum(s).alias(s) for s in sums))
-            if depth < len(levels) - 1 else sizes
-        )
-        level = level.select(
-            *parent, name, *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_{depth}") for s in sums)
-        )
-        out = out.join(level, [*parent, name])
-    return out.select(
-        *keys, *(sum((F.col(f"_{s}_{d}") for d in range(1, len(levels))), F.col(f"_{s}_0")).alias(f"_before_{s}") for s in sums)
-    )
-
-
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Order],
               levels: Sequence[tuple[Column, bool]], name: str = "rank") -> DataFrame:
     """Adds the 1-based position of each row in its group under a total `order`.
@@ -51,7 +30,8 @@ def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Order],
     cut = df.withColumns({n: c for (n, _), (c, _) in zip(named, levels, strict=True)})
     keys = [*group, *(n for n, _ in named)]
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    offsets = _offsets(sizes, group, named, ["n"])
+    earlier = Window.partitionBy(*group).orderBy(*(_sort(n, a) for n, a in named)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before_n"))
     inside = Window.partitionBy(*keys).orderBy(*(_sort(c, a) for c, a in order))
     return (
         cut.join(offsets, keys)
@@ -64,5 +44,5 @@ def id_levels(df: DataFrame, column: str, ascending: bool = True) -> list[tuple[
     """Order-preserving blocks of an identifier: blocks of ids for numbers, prefixes for text."""
     c = F.col(column)
     if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return [(F.shiftright(c.cast("long"), 24), ascending), (F.shiftright(c.cast("long"), 12), ascending)]
-    return [(F.substring(c, 1, 4), ascending), (F.substring(c, 1, 7), ascending)]
+        return [(F.shiftright(c.cast("long"), 16), ascending)]
+    return [(F.substring(c, 1, 6), ascending)]

@@ -119,10 +119,11 @@ def with_start(chats: DataFrame, window: tuple[str, str] = fixed.WINDOW) -> Data
     return staged(df.withColumn("inicio", F.col("ini_at")).drop("ini_a", "ini_b", "ini_slash", "ini_precision", "ini_reason", "ini_at"))
 
 
-def check_chats(chats: DataFrame, leads: DataFrame, window: tuple[str, str] = fixed.WINDOW) -> DataFrame:
-    """Log of orphan chats and of chats that start on a day before the registration of their lead."""
+def check_chats(chats: DataFrame, leads: DataFrame) -> DataFrame:
+    """Log of orphan chats and of chats that start on a day before the registration of their lead.
+    Expects `inicio` (see `with_start`)."""
     owners = leads.select("lead_id", "empresa_id", "fecha_registro", F.lit(True).alias("conocido"))
-    df = with_start(chats, window).join(owners, "lead_id", "left")
+    df = chats.join(owners, "lead_id", "left")
     known = F.col("conocido").isNotNull()
     orphans = log_of(df, CHATS_FILE, F.col("conversacion_id"), F.lit(None).cast(leads.schema["empresa_id"].dataType), [
         problem(~known, "lead_id", "conversacion_huerfana", F.col("lead_id"), "se carga sin empresa"),

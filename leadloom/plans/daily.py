@@ -1,10 +1,13 @@
 """The daily plan: messy inputs to cleaned leads, signals, scores and assignment.
 
-Every property is a lazy DataFrame. `run` materialises the stages that several others read.
+A stage is built from earlier stages. Stages that several others read are written once to the
+shared folder as Parquet and read back, so later plans start from a table: short lineage, column
+pruning, and nothing to recompute when an executor is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,10 +16,29 @@ from pyspark.sql import functions as F
 from leadloom import fixed
 from leadloom.operators import assignment, catalogue, consolidate, entities, extraction, quality, scoring, standardize
 from leadloom.operators.quality import CHATS_FILE, log_of, problem
+from leadloom.sources.tables import materialize
 
 MAX_BRANDS = 2000
 
 
+def stage(builder: Callable[[Daily], DataFrame]) -> property:
+    """A property that builds its table once and, when the plan materialises, writes it."""
+    name = builder.__name__
+
+    def get(self: Daily) -> DataFrame:
+        if name not in self._stages:
+            df = builder(self)
+            self._stages[name] = materialize(df, name) if self.materialized else df
+        return self._stages[name]
+
+    prop = property(get, doc=builder.__doc__)
+    BUILDERS[name] = builder
+    return prop
+
+
+BUILDERS: dict[str, Callable[[Daily], DataFrame]] = {}
+
+
 def brand_list(models: DataFrame) -> list[str]:
     """Brands of the catalogue for the mention pattern. A pattern must be a literal, so its size is
     checked; beyond it the catalogue is not a catalogue and the run stops."""
@@ -29,34 +51,45 @@ def brand_list(models: DataFrame) -> list[str]:
 class Daily:
     """Stages over `inputs`: an object with leads(), catalogue(), advisors(), history(), chats() and messages()."""
 
-    def __init__(self, inputs, window=fixed.WINDOW, days: int = fixed.LIST_DAYS, day: str | None = None) -> None:
+    def __init__(self, inputs, window=fixed.WINDOW, days: int = fixed.LIST_DAYS, day: str | None = None,
+                 materialized: bool = False) -> None:
         self.inputs, self.window, self.days, self.day = inputs, window, days, day
+        self.materialized = materialized
+        self._stages: dict[str, DataFrame] = {}
 
-    @cached_property
+    def build(self, name: str) -> DataFrame:
+        """The plan of one stage over its (possibly written) inputs."""
+        return BUILDERS[name](self)
+
+    @stage
     def raw_leads(self) -> DataFrame:
         return self.inputs.leads()
 
-    @cached_property
-    def _standard(self) -> tuple[DataFrame, DataFrame]:
-        return standardize.standardize_leads(self.raw_leads, self.window)
-
-    @property
+    @stage
     def clean_leads(self) -> DataFrame:
-        return self._standard[0]
+        return standardize.standardize_leads(self.raw_leads, self.window)[0]
+
+    @stage
+    def lead_log(self) -> DataFrame:
+        return standardize.standardize_leads(self.raw_leads, self.window)[1]
 
     @cached_property
+    def raw_catalogue(self) -> DataFrame:
+        return self.inputs.catalogue()
+
+    @stage
     def catalogue(self) -> DataFrame:
-        return standardize.standardize_catalogue(self.inputs.catalogue())
+        return standardize.standardize_catalogue(self.raw_catalogue)
 
-    @cached_property
+    @stage
     def availability(self) -> DataFrame:
-        return catalogue.availability(self.inputs.catalogue())
+        return catalogue.availability(self.raw_catalogue)
 
-    @cached_property
+    @stage
     def advisors(self) -> DataFrame:
         return standardize.standardize_advisors(self.inputs.advisors())
 
-    @cached_property
+    @stage
     def history(self) -> DataFrame:
         return standardize.standardize_history(self.inputs.history())
 
@@ -64,33 +97,34 @@ class Daily:
     def brands(self) -> list[str]:
         return brand_list(self.catalogue)
 
-    @cached_property
-    def _matched(self) -> tuple[DataFrame, DataFrame]:
+    @stage
+    def matched(self) -> DataFrame:
+        """Clean leads with the catalogue row, the rule and the availability."""
         return catalogue.assign_models(self.clean_leads, self.catalogue, self.availability)
 
-    @cached_property
-    def _people(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return entities.deduplicate(self._matched[0])
-
     @property
+    def model_log(self) -> DataFrame:
+        return catalogue.model_log(self.matched)
+
+    @stage
     def clients(self) -> DataFrame:
-        return self._people[0]
+        return entities.clients(entities.with_client_key(self.clean_leads))
 
-    @property
+    @stage
     def leads(self) -> DataFrame:
-        return self._people[1]
+        """Matched leads with client key and principal mark."""
+        return entities.with_principal(entities.with_client_key(self.matched), self.clients)
 
-    @cached_property
+    @stage
     def keyed_leads(self) -> DataFrame:
-        """Leads with client key and principal mark, without the model columns."""
-        keyed = entities.with_client_key(self.clean_leads)
-        return entities.with_principal(keyed, entities.clients(keyed))
+        """Clean leads with client key and principal mark, for what needs no model."""
+        return entities.with_principal(entities.with_client_key(self.clean_leads), self.clients)
 
-    @cached_property
-    def plain_clients(self) -> DataFrame:
-        return entities.clients(entities.with_client_key(self.clean_leads))
+    @stage
+    def collision_log(self) -> DataFrame:
+        return entities.collisions(entities.with_client_key(self.clean_leads))
 
-    @cached_property
+    @stage
     def chats(self) -> DataFrame:
         return standardize.with_start(self.inputs.chats(), self.window)
 
@@ -98,15 +132,15 @@ class Daily:
     def messages(self) -> DataFrame:
         return self.inputs.messages()
 
-    @cached_property
+    @stage
     def extraction(self) -> DataFrame:
         return extraction.rule_extraction(self.chats, self.messages, self.brands)
 
-    @cached_property
+    @stage
     def unsupported(self) -> DataFrame:
         return extraction.unsupported(self.extraction, self.messages)
 
-    @cached_property
+    @stage
     def checked(self) -> DataFrame:
         """Extractions after price validation, with `sin_respaldo` fields returned to unknown."""
         models = catalogue.match_texts(self.extraction, "modelo_texto", self.catalogue).select("modelo_texto", F.col("sku").alias("sku_extraido"))
@@ -117,27 +151,28 @@ class Daily:
         df = df.withColumn("sin_respaldo", F.coalesce("sin_respaldo", F.array().cast("array<string>")))
         return extraction.as_unknown(df, F.col("sin_respaldo"))
 
-    @cached_property
+    @stage
     def placed(self) -> DataFrame:
-        return consolidate.chats_on_principal(self.checked, self.chats, self.keyed_leads, self.plain_clients)
+        """Checked extractions on the principal lead of their client."""
+        return consolidate.chats_on_principal(self.checked, self.chats, self.keyed_leads, self.clients)
 
-    @cached_property
+    @stage
     def signals(self) -> DataFrame:
         return consolidate.consolidate(self.placed)
 
-    @cached_property
+    @property
     def cutoff(self) -> DataFrame:
         return scoring.cutoff(self.clean_leads, self.day)
 
-    @cached_property
+    @stage
     def scores(self) -> DataFrame:
         return scoring.score(self.leads, self.signals, self.catalogue.select("sku", "precio_lista"), self.cutoff, self.days)
 
-    @cached_property
+    @stage
     def assignment(self) -> DataFrame:
         return assignment.assign(self.scores, self.advisors)
 
-    @cached_property
+    @property
     def chat_log(self) -> DataFrame:
         """Problems of the extraction stage: corrected amounts and quotes without support."""
         tenants = self.clean_leads.select("lead_id", "empresa_id")
@@ -149,13 +184,12 @@ class Daily:
             log_of(fix_log, CHATS_FILE, F.col("conversacion_id"), F.col("empresa_id"), [
                 problem(F.lit(True), "cuota_inicial_cop", F.col("tipo"), F.col("cuota_original"), "valor corregido por la validación")]),
             log_of(quotes, CHATS_FILE, F.col("conversacion_id"), F.col("empresa_id"), [
-                problem(F.lit(True), "evidencia", "evidencia_sin_respaldo", F.col("fragmento"), "se toma como desconocido y no se cita")])
-            .withColumn("campo", F.col("campo")),
+                problem(F.lit(True), F.concat(F.lit("evidencia."), F.col("campo")), "evidencia_sin_respaldo", F.col("fragmento"), "se toma como desconocido y no se cita")]),
         )
 
-    @cached_property
+    @stage
     def quality_log(self) -> DataFrame:
         return quality.union_logs(
-            self._standard[1], self._matched[1], self._people[2],
-            standardize.check_chats(self.inputs.chats(), self.clean_leads, self.window), self.chat_log,
+            self.lead_log, self.model_log, self.collision_log,
+            standardize.check_chats(self.chats, self.clean_leads), self.chat_log,
         )

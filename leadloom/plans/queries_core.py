@@ -41,29 +41,29 @@ def dates_(spark, folder) -> DataFrame:
 
 @reg.query("n11_standard_leads", with_ctes("SELECT * FROM std"))
 def standard_leads(spark, folder) -> DataFrame:
-    return daily(spark, folder).clean_leads
+    return daily(spark, folder).build("clean_leads")
 
 
 @reg.query("q1_lead_log", with_ctes(
     "SELECT 'leads.csv' AS archivo, CAST(lead_id AS VARCHAR) AS registro_id, p.campo AS campo, p.tipo AS tipo, p.valor AS valor_original, "
     "p.accion AS accion, empresa_id FROM log_std"))
 def lead_log(spark, folder) -> DataFrame:
-    return daily(spark, folder)._standard[1]
+    return daily(spark, folder).build("lead_log")
 
 
 @reg.query("q2_counts_by_tenant", with_ctes("SELECT empresa_id, p.tipo AS tipo, count(*) AS casos FROM log_std GROUP BY ALL"))
 def counts_by_tenant(spark, folder) -> DataFrame:
-    return quality.counts_by_tenant(daily(spark, folder)._standard[1])
+    return quality.counts_by_tenant(daily(spark, folder).lead_log)
 
 
 @reg.query("a1_a3_clients", with_ctes("SELECT * FROM clients"))
 def clients(spark, folder) -> DataFrame:
-    return daily(spark, folder).plain_clients
+    return daily(spark, folder).build("clients")
 
 
 @reg.query("a2_principal", with_ctes("SELECT lead_id, empresa_id, clave_dedup, es_principal FROM ranked"))
 def principal(spark, folder) -> DataFrame:
-    return daily(spark, folder).keyed_leads.select("lead_id", "empresa_id", "clave_dedup", "es_principal")
+    return daily(spark, folder).build("keyed_leads").select("lead_id", "empresa_id", "clave_dedup", "es_principal")
 
 
 @reg.query("f2_cutoff", with_ctes("SELECT fecha_corte, momento FROM cut"))

@@ -13,8 +13,17 @@ from leadloom.plans.daily import Daily
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_PLANS: dict[tuple[str, str], Daily] = {}
+
+
 def daily(spark: SparkSession, folder: str) -> Daily:
-    return Daily(driver_tables.DriverInputs(spark, folder), driver_tables.WINDOW, driver_tables.LIST_DAYS)
+    """The daily plan over one folder. Its shared stages are written once per application; a query
+    about a stage itself uses `build`, which computes that stage again."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PLANS:
+        inputs = driver_tables.DriverInputs(spark, folder)
+        _PLANS[key] = Daily(inputs, driver_tables.WINDOW, driver_tables.LIST_DAYS, materialized=True)
+    return _PLANS[key]
 
 
 def plain(df: DataFrame) -> DataFrame:
