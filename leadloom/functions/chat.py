@@ -13,7 +13,7 @@ from leadloom.functions.text import FLAGS, matches
 
 
 def _last(c: Column, pattern: str, group: int) -> Column:
-    return F.element_at(F.regexp_extract_all(c, F.lit(FLAGS + pattern), F.lit(group)), -1)
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(FLAGS + pattern), F.lit(group)), F.lit(-1))
 
 
 def _end(c: Column, pattern: str) -> Column:
@@ -45,7 +45,7 @@ def model_named(c: Column, brands: Sequence[str]) -> Column:
     first_stop = F.array_position(stops, True)
     keep = F.least(F.when(first_stop > 0, first_stop - 1).otherwise(F.size(words)), F.lit(3)).cast("int")
     parts = F.transform(F.slice(words, F.lit(1), keep), lambda w: F.btrim(w, F.lit(".,;:¿?¡!")))
-    return F.array_join(F.filter(F.concat(F.array(brand), parts), lambda p: p != ""), " ")
+    return F.when(brand.isNotNull(), F.array_join(F.filter(F.concat(F.array(brand), parts), lambda p: p != ""), " "))
 
 
 def signals(c: Column) -> dict[str, Column]:

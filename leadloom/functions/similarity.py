@@ -52,7 +52,7 @@ def _lcs_rows(a: Column, b: Column) -> Column:
         positions = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(positions, F.array().cast("array<int>"), cell)
 
-    return F.coalesce(F.element_at(F.aggregate(a, zero, row), -1), F.lit(0))
+    return F.coalesce(F.try_element_at(F.aggregate(a, zero, row), F.lit(-1)), F.lit(0))
 
 
 def lcs(a: Column, b: Column) -> Column:

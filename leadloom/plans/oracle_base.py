@@ -68,7 +68,7 @@ def resolution(col: str, p: str, other: str | None, registration: bool) -> str:
     inn = f"list_filter({p}_all, {inside})"
     cand = f"CASE WHEN len({inn}) > 0 THEN {inn} ELSE {p}_all END"
     if other is None:
-        coh = "[]::TIMESTAMP[]"
+        coh = "([]::TIMESTAMP[])"
     else:
         oin = f"list_filter({other}_all, lambda y: CAST(y AS DATE) BETWEEN DATE '{LO}' AND DATE '{HI}')"
         oth = f"CASE WHEN len({oin}) > 0 THEN {oin} ELSE {other}_all END"
