@@ -121,7 +121,7 @@ CTES.update({
     "resolved": (
         "SELECT * FROM m_full UNION ALL SELECT * FROM m_line WHERE limpio NOT IN (SELECT limpio FROM m_full) UNION ALL SELECT * FROM m_brand WHERE limpio NOT IN (SELECT limpio FROM m_full) "
         "AND limpio NOT IN (SELECT limpio FROM m_line)", ("m_full", "m_line", "m_brand")),
-    "bridge": ("SELECT DISTINCT sku, CAST(trim(p) AS BIGINT) AS punto_venta_id FROM (SELECT sku, unnest(string_split(puntos_venta_disponibles, '|')) AS p FROM cat) AS e WHERE trim(p) <> ''", ("cat",)),
+    "bridge": ("SELECT DISTINCT sku, TRY_CAST(trim(p) AS BIGINT) AS punto_venta_id FROM (SELECT sku, unnest(string_split(puntos_venta_disponibles, '|')) AS p FROM cat) AS e WHERE trim(p) <> ''", ("cat",)),
     "matched": (
         f"SELECT r.*, m.sku AS sku_interes, m.marca AS marca_interes, m.puntaje AS match_modelo_score, coalesce(m.regla, CASE WHEN {clean_model('r.modelo_texto_original')} IS NULL THEN 'modelo_faltante' ELSE 'sin_coincidencia' END) AS regla, "
         f"CASE WHEN m.sku IS NULL THEN NULL ELSE EXISTS (SELECT 1 FROM bridge AS b WHERE b.sku = m.sku AND b.punto_venta_id = r.punto_venta_id) END AS modelo_disponible_pv "
