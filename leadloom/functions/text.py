@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -119,3 +120,11 @@ def quote_key(c: Column) -> Column:
 
 def phone_shape(c: Column) -> Column:
     return F.regexp_replace(c, r"\d", "9")
+
+
+def client_template_key(c: Column, names: list[str]) -> Column:
+    """Phrase with catalogue names as <MOTO> (longest first) and figures as <N>, in lower case."""
+    ordered = sorted(set(names), key=lambda n: (-len(n), n))
+    escaped = [re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", n) for n in ordered]
+    named = F.regexp_replace(c, "(?iu)" + "|".join(escaped), "<MOTO>") if escaped else c
+    return F.lower(strip(F.regexp_replace(named, r"\$?\s?\d[\d.,]*", "<N>")))
