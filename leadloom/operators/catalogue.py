@@ -17,9 +17,15 @@ def _pairs(c: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: c.substr(i, F.lit(2))))
 
 
+def _repeats(c: Column) -> Column:
+    """Pairs of a text beyond the distinct ones."""
+    return F.greatest(F.length(c) - 1, F.lit(0)) - F.size(_pairs(c))
+
+
 def _set_keys(words: Column) -> Column:
-    """Blocking keys for `token_set_ratio` of 85 or more: it needs a shared word or, between the
-    sorted texts, a shared pair of letters (2 * shared pairs >= 0.55 * letters - 2)."""
+    """Blocking keys for `token_set_ratio` of 85 or more. It needs a shared word or, between the
+    sorted texts, shared pairs of letters: d insertions and deletions leave at least
+    (letters - 2 - 3d) / 2 pairs, and 85 allows d <= 0.15 * letters."""
     joined = F.array_join(words, " ")
     return F.array_union(F.transform(words, lambda w: F.concat(F.lit("w:"), w)),
                          F.transform(_pairs(joined), lambda p: F.concat(F.lit("p:"), p)))
@@ -36,8 +42,12 @@ def _best_unique(texts: DataFrame, names: DataFrame, threshold: int) -> DataFram
     n = names.select("sku", "marca", "nombre_palabras", F.explode(_set_keys(F.col("nombre_palabras"))).alias("clave"))
     candidates = (
         t.join(n, "clave").groupBy("limpio", "sku")
-        .agg(F.first("marca").alias("marca"), F.first("palabras").alias("palabras"), F.first("nombre_palabras").alias("nombre_palabras"))
+        .agg(F.first("marca").alias("marca"), F.first("palabras").alias("palabras"), F.first("nombre_palabras").alias("nombre_palabras"),
+             F.count_if(F.col("clave").startswith("w:")).alias("comunes"), F.count_if(F.col("clave").startswith("p:")).alias("pares"))
     )
+    a, b = F.array_join("palabras", " "), F.array_join("nombre_palabras", " ")
+    enough = F.col("pares") + _repeats(a) >= 0.275 * (F.length(a) + F.length(b)) - 1
+    candidates = candidates.filter((F.col("comunes") > 0) | enough)
     scored = candidates.withColumn("puntaje", token_set_ratio(F.col("palabras"), F.col("nombre_palabras")))
     # Scores first, then the best score: neither step gathers the candidates of a text.
     per_score = scored.filter(F.col("puntaje") >= threshold).groupBy("limpio", "puntaje").agg(
@@ -64,7 +74,8 @@ def _best_brand(texts: DataFrame, brands: DataFrame) -> DataFrame:
     candidates = (
         texts.select("limpio", F.explode(tk).alias("clave"))
         .join(brands.select("marca", "marca_baja", F.explode(bk).alias("clave")), "clave")
-        .groupBy("limpio", "marca").agg(F.first("marca_baja").alias("marca_baja"))
+        .groupBy("limpio", "marca").agg(F.first("marca_baja").alias("marca_baja"), F.count(F.lit(1)).alias("pares"))
+        .filter(F.col("pares") + _repeats(b) >= 0.478 * F.least(F.length(b), F.length(t)) - 1)
     )
     scored = candidates.withColumn("puntaje", partial_ratio(b, t)).filter(F.col("puntaje") >= fixed.BRAND_MATCH)
     per_score = scored.groupBy("limpio", "puntaje").agg(F.min("marca").alias("marca"))
@@ -82,16 +93,15 @@ def match_texts(df: DataFrame, column: str, catalogue: DataFrame) -> DataFrame:
     full = catalogue.select("sku", "marca", tokens(text.clean_model(F.concat_ws(" ", "marca", "linea"))).alias("nombre_palabras"))
     lines = catalogue.select("sku", "marca", tokens(text.clean_model(F.col("linea"))).alias("nombre_palabras"))
     brands = catalogue.select("marca", F.lower("marca").alias("marca_baja")).distinct()
-    by_full = _best_unique(clean, full, fixed.FULL_MATCH)
-    left = clean.join(by_full, "limpio", "left_anti")
-    by_line = _best_unique(left, lines, fixed.LINE_MATCH)
-    by_brand = _best_brand(left.join(by_line, "limpio", "left_anti"), brands)
-    resolved = (
-        by_full.withColumn("regla", F.lit("coincidencia_completa"))
-        .unionByName(by_line.withColumn("regla", F.lit("coincidencia_linea")))
-        .unionByName(by_brand.select("limpio", F.lit(None).cast("string").alias("sku"), "marca", "puntaje",
-                                     F.lit("modelo_ambiguo").alias("regla")))
+    # The three rules run side by side over the distinct texts; the first that answers wins.
+    answers = (
+        _best_unique(clean, full, fixed.FULL_MATCH).withColumn("orden", F.lit(0))
+        .unionByName(_best_unique(clean, lines, fixed.LINE_MATCH).withColumn("orden", F.lit(1)))
+        .unionByName(_best_brand(clean, brands).select("limpio", F.lit(None).cast("string").alias("sku"), "marca", "puntaje", F.lit(2).alias("orden")))
     )
+    first = answers.groupBy("limpio").agg(F.min_by(F.struct("sku", "marca", "puntaje", "orden"), "orden").alias("r"))
+    names = F.element_at(F.array(F.lit("coincidencia_completa"), F.lit("coincidencia_linea"), F.lit("modelo_ambiguo")), F.col("r.orden") + 1)
+    resolved = first.select("limpio", "r.sku", "r.marca", "r.puntaje", names.alias("regla"))
     rule = F.coalesce("regla", F.when(F.col("limpio").isNull(), "modelo_faltante").otherwise("sin_coincidencia"))
     return originals.join(resolved, "limpio", "left").select(column, "sku", "marca", "puntaje", rule.alias("regla"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,18 +181,28 @@ def as_unknown(extraction: DataFrame, fields: Column) -> DataFrame:
 
 
 # --- evidence audit ---------------------------------------------------------------------------
+def _close_runs(quote: str, passage: str, size: int, short_allowed: bool) -> list[str]:
+    """Runs of `size` words whose letters alone allow the required similarity: letter counts bound
+    it from above, so no other run can reach it."""
+    codes = np.frombuffer(passage.encode("utf-32-le"), dtype="<u4")
+    cuts = np.concatenate(([-1], np.flatnonzero(codes == 32), [len(codes)]))  # words lie between single spaces
+    words = len(cuts) - 1
+    if words < size:
+        return [passage] if short_allowed else []
+    begin, end = cuts[:words - size + 1] + 1, cuts[size:]
+    shared = np.zeros(len(begin), dtype=np.int64)
+    for letter in set(quote):
+        seen = np.concatenate(([0], np.cumsum(codes == ord(letter))))
+        shared += np.minimum(seen[end] - seen[begin], quote.count(letter))
+    near = 2.0 * shared >= fixed.QUOTE_SIMILARITY * (len(quote) + end - begin) - 1e-9
+    return [passage[a:b] for a, b in zip(begin[near], end[near])]
+
+
 @F.pandas_udf(T.BooleanType())
 def _near_quote(quote: pd.Series, passage: pd.Series, short_allowed: pd.Series) -> pd.Series:
     """Whether some run of as many words as the quote is a copy with a slip."""
     def found(q: str, p: str, short: bool) -> bool:
-        words, size = p.split(), len(q.split())
-        if len(words) < size and not short:
-            return False
-        for i in range(max(1, len(words) - size + 1)):
-            m = SequenceMatcher(None, q, " ".join(words[i:i + size]))
-            if m.real_quick_ratio() >= fixed.QUOTE_SIMILARITY and m.ratio() >= fixed.QUOTE_SIMILARITY:
-                return True
-        return False
+        return any(SequenceMatcher(None, q, run).ratio() >= fixed.QUOTE_SIMILARITY for run in _close_runs(q, p, len(q.split()), short))
 
     return pd.Series([found(q, p, s) for q, p, s in zip(quote, passage, short_allowed)], dtype="bool")
 

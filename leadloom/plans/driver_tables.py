@@ -18,8 +18,7 @@ SPLIT_DATE = "2000-01-01"
 
 
 def _case(expression: str, values: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE {expression} {arms} END"
+    return f"split_part('{'|'.join(values)}', '|', CAST({expression} AS INT) + 1)"
 
 
 def _two(expression: str) -> str:
@@ -170,8 +169,15 @@ class DriverInputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table that the derivations compute over row by row. A file too small to give every core
+        a split (one row group) is dealt out by key; a large table keeps its splits, unshuffled."""
+        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < min(cores, 16) else df
+
     def _sql(self, text: str, *tables: str, **frames: DataFrame) -> DataFrame:
-        return self.spark.sql(text, **{t: self.table(t) for t in tables}, **frames)
+        wide = ("orders", "conversations")
+        return self.spark.sql(text, **{t: self.spread(t) if t in wide else self.table(t) for t in tables}, **frames)
 
     def leads_once(self) -> DataFrame:
         return self._sql(RAW_LEADS_ONCE, "orders", "customer", "nation")
