@@ -9,17 +9,22 @@ from leadloom import fixed
 from leadloom.functions.text import is_blank, strip
 
 
-def date_format_class(c: Column) -> Column:
-    text = strip(c)
+def _class_of(stripped: Column) -> Column:
+    """Format of an already stripped text. The length decides which pattern is worth trying."""
+    size = F.length(stripped)
     return (
-        F.when(is_blank(c), "vacio")
-        .when(text.rlike(fixed.DATE_ISO), F.when(text.contains("T"), "iso_t").otherwise("iso_espacio"))
-        .when(text.rlike(fixed.DATE_DAY), "dd-mm-yyyy")
-        .when(text.rlike(fixed.DATE_SLASH), "barras")
+        F.when(F.coalesce(stripped, F.lit("")) == "", "vacio")
+        .when((size == 19) & stripped.rlike(fixed.DATE_ISO), F.when(F.substring(stripped, 11, 1) == "T", "iso_t").otherwise("iso_espacio"))
+        .when((size == 10) & stripped.rlike(fixed.DATE_DAY), "dd-mm-yyyy")
+        .when((size == 16) & stripped.rlike(fixed.DATE_SLASH), "barras")
         .otherwise("desconocido")
     )
 
 
+def date_format_class(c: Column) -> Column:
+    return _class_of(strip(c))
+
+
 def slash_class(c: Column) -> Column:
     """Which reading the components of a slash date allow; NULL for the other formats."""
     x = F.regexp_extract(strip(c), fixed.DATE_SLASH, 1)
@@ -42,7 +47,8 @@ def with_readings(df: DataFrame, column: str, prefix: str) -> DataFrame:
     def n(name: str) -> str:
         return f"_{prefix}_{name}"
 
-    df = df.withColumns({n("text"): strip(F.col(column)), n("kind"): date_format_class(F.col(column))})
+    df = df.withColumn(n("text"), strip(F.col(column)))
+    df = df.withColumn(n("kind"), _class_of(F.col(n("text"))))
     kind = F.col(n("kind"))
     iso, known = kind.startswith("iso"), ~kind.isin("vacio", "desconocido")
 
