@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
@@ -13,12 +12,10 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the session names it; a local one only where unset."""
+    """Folder every executor can reach: the one that spark.checkpoint.dir names, else one in the warehouse.
+    The session's settings stay as they are."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="leadloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -26,10 +23,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes a stage as Parquet under the shared folder and reads it back."""
+    """Writes a stage as Parquet under the shared folder and reads it back. The file system drops the
+    stage when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
