@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def held_out(doc_id: Column) -> Column:
 
 def steps(batch: pa.RecordBatch, text_col: str, limit: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a step holds about `limit` bytes of text."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

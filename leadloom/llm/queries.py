@@ -7,16 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe_index, exact_dedup, mixing, token_counts
+from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, quality_crf, token_counts
 from leadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_crf.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.compared(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), keep="largest")
 
@@ -29,7 +41,7 @@ def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_index.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_counts, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op5_language_codes, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip)}
 
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

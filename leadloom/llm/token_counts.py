@@ -12,6 +12,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -122,7 +123,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         column = batch.column("text")
         tokens = pa.array([count(t) for t in column.to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.compute.binary_length(column).cast(pa.int64()), tokens, pa.compute.greater(tokens, limit)],
+            [batch.column("doc_id"), pc.binary_length(column).cast(pa.int64()), tokens, pc.greater(tokens, limit)],
             ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = texts(docs, id_col, text_col)
