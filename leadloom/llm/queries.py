@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, quality_crf, substring_dedup, token_counts
+from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, page_diff, quality_crf, substring_dedup, token_counts
 from leadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,11 @@ def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op5_language_codes, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip, op9_repeated_passages)}
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_diff.extract(table(spark, folder, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op5_language_codes, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip, op9_repeated_passages, op10_page_text)}
 
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
