@@ -39,3 +39,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "keep_id", "group_size",
         F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "text_sha256",
     ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("time") == 1)).alias("kept"), "text_sha256")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows that `exact_dedup` keeps, as they are. They are found again by id and text hash; of rows
+    that repeat both, one stays. The cases are those of `exact_dedup`."""
+    kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    found = rows.join(kept, rows["id"].eqNullSafe(kept["i"]) & (rows["sha"] == kept["s"]), "left_semi")
+    return found.dropDuplicates(["id", "sha"]).select("row.*")

@@ -85,20 +85,16 @@ def budget_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The row as it is, with doc_id, source, size in words and the hash of the id."""
+    return docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 64 - BITS).alias("hash"))
 
-    size counts words; copies (0 to `limit`) is how often the mix repeats the document; taken is
-    size times copies. The words taken of a source never exceed its target and miss it by less than the
-    smallest document that the last nested budget left out. The hash depends on the id alone, so reruns
-    agree. Null text: no words. Null source: a source of its own, last. Rows that repeat an id have the
-    same hash and are taken together. Null id: hashed as such. Empty table: no rows.
-    """
-    rows = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 64 - BITS).alias("hash"),
-    ), "mix-rows")
+
+def mix_rules(rows: DataFrame, weights: Sequence[float], limit: float) -> DataFrame:
+    """One row per source: source_size, target, whole (copies of every document) and, for each nested
+    budget, the size and the hash below which a document is taken once more. rows: source, size, hash."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     whole = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), F.lit(int(limit)))
     plan = materialize(targets.withColumn("whole", whole.cast("long")).withColumn("left", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-plan")
@@ -119,10 +115,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for i, state in enumerate(marks):
         named = state.select(F.col("source").alias(f"s{i}"), F.struct("budget", "threshold").alias(f"rule{i}"))
         rules = rules.join(named, F.col("source").eqNullSafe(F.col(f"s{i}"))).drop(f"s{i}")
-    rules = materialize(rules, "mix-rules").withColumnRenamed("source", "s")
+    return materialize(rules, "mix-rules").withColumnRenamed("source", "s")
+
+
+def _with_copies(rows: DataFrame, rules: DataFrame) -> DataFrame:
     extra = F.lit(False)
     for i in range(ROUNDS):
         extra = extra | ((F.col("size") <= F.col(f"rule{i}.budget")) & (F.col("hash") < F.col(f"rule{i}.threshold")))
     copies = (F.col("whole") + F.when((F.col("size") > 0) & extra, 1).otherwise(0)).cast("long")
-    return rows.join(rules, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies).select(
+    return rows.join(rules, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: Sequence[float] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+
+    size counts words; copies (0 to `limit`) is how often the mix repeats the document; taken is
+    size times copies. The words taken of a source never exceed its target and miss it by less than the
+    smallest document that the last nested budget left out. The hash depends on the id alone, so reruns
+    agree. Null text: no words. Null source: a source of its own, last. Rows that repeat an id have the
+    same hash and are taken together. Null id: hashed as such. Empty table: no rows.
+    """
+    rows = materialize(_measured(docs, id_col, text_col, source_col).drop("row"), "mix-rows")
+    return _with_copies(rows, mix_rules(rows, weights, limit)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: Sequence[float] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
+    """The documents themselves, each as often as `mix` takes it. The cases are those of `mix`. The rules
+    of the sources meet the documents where they lie; texts are not shuffled while the rules are small
+    enough for Spark to send them to every task."""
+    rows = _measured(docs, id_col, text_col, source_col)
+    rules = mix_rules(materialize(rows.select("source", "size", "hash"), "mix-rows"), weights, limit)
+    return _with_copies(rows, rules).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadloom.llm.common import held_out, per_step, texts
 
@@ -218,6 +219,15 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Lines, np.
     return Lines(own, size, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)), np.array([r["quality"] for r in rows])
 
 
+def _fitted(rows: DataFrame, labels: DataFrame, sample: int) -> tuple[QualityModel | None, float]:
+    """The model, or none and the score that all texts get."""
+    drawn = _sample(rows, labels.select("doc_id", "quality"), sample)
+    if drawn is None:
+        return None, 0.5
+    share = float(drawn[1].mean())
+    return (fit(*drawn), share) if 0 < share < 1 else (None, share)
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), n_lines.
 
@@ -229,21 +239,32 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Empty table: no rows. Other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
-    drawn = _sample(rows, labels.select("doc_id", "quality"), sample)
-    both = drawn is not None and 0 < drawn[1].mean() < 1
-    model = fit(*drawn) if both else None
-    flat = 0.5 if drawn is None else float(drawn[1].mean())
     read = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return _scored(read, *_fitted(rows, labels, sample), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that `quality` predicts to be good, as they are. The rows travel with their scores, so
+    nothing is shuffled. The cases are those of `quality`."""
+    rows = texts(docs, id_col, text_col)
+    read = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _scored(read, *_fitted(rows, labels, sample), threshold).filter("predicted = 1").select("row.*")
+
+
+def _scored(read: DataFrame, model: QualityModel | None, flat: float, threshold: float) -> DataFrame:
+    """The columns of `read` except text, with score, predicted and n_lines."""
+    carried = [f for f in read.schema.fields if f.name != "text"]
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = lines_of(batch.column("text").cast(pa.binary()).to_pylist())
         score = model.scores(lines) if model else np.full(batch.num_rows, flat)
         count = np.diff(np.append(lines.first, len(lines.own)))
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()),
-            pa.array((score >= threshold).astype(np.int32)), pa.array(count.astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_lines"])
+            *(batch.column(f.name) for f in carried), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)),
+            pa.array(count.astype(np.int64))], [*(f.name for f in carried), "score", "predicted", "n_lines"])
 
-    return read.mapInArrow(per_step(scored), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_lines long")
+    made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_lines", T.LongType())]
+    return read.mapInArrow(per_step(scored), T.StructType([*carried, *made]))
 
 
 def line_labels(model: QualityModel, text: str) -> list[tuple[str, float]]:

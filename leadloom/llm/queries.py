@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, page_diff, quality_crf, substring_dedup, token_counts
+from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, ngram_join, page_diff, quality_crf, substring_dedup, token_counts
 from leadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar(table(spark, folder, "documents"))
+
+
 def op5_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -49,7 +53,7 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_diff.extract(table(spark, folder, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op5_language_codes, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip, op9_repeated_passages, op10_page_text)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op4_shingle_join, op5_language_codes, op6_exact_dedup, op7_source_mix, op8_bpe_round_trip, op9_repeated_passages, op10_page_text)}
 
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
