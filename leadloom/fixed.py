@@ -205,6 +205,9 @@ LEXICON = {
     "pago de contado": ("de contado",),
     "pago a crédito o financiado": ("financiada", "a credito", "credito"),
 }
+LEXICON_OBJECTIONS = (
+    "precio", "tasa_cuota", "sin_inicial", "reporte_centrales", "comparando", "consultar_familia", "prefiere_usada", "tiempo_entrega", "solo_averiguando",
+)
 AMOUNT_SHAPES = {
     "millones": r"\b\d+(?:[.,]\d+)?\s*millones\b",
     "palos": r"\b\d+(?:[.,]\d+)?\s*palos\b",

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed
 from leadloom.functions.text import FLAGS, matches
 
 
-def _last(c: Column, pattern: str, group: int) -> Column:
-    return F.try_element_at(F.regexp_extract_all(c, F.lit(FLAGS + pattern), F.lit(group)), F.lit(-1))
+def _last(c: Column, pattern: str | Column, group: int) -> Column:
+    flagged = F.lit(FLAGS + pattern) if isinstance(pattern, str) else F.concat(F.lit(FLAGS), pattern)
+    return F.try_element_at(F.regexp_extract_all(c, flagged, F.lit(group)), F.lit(-1))
 
 
 def _end(c: Column, pattern: str) -> Column:
@@ -31,15 +32,27 @@ def amount(c: Column) -> Column:
     return F.when(slang_end > full_end, slang).when(full_end > 0, full)
 
 
-def brand_pattern(brands: Sequence[str]) -> str:
-    names = sorted(brands, key=lambda b: (-len(b), b))
-    return r"\b(" + "|".join(re.sub(r"([^\w\s])", r"\\\1", b) for b in names) + r")\b([\w\s.\-]*)"
+def brand_pattern(brands: Sequence[str] | DataFrame) -> Column:
+    """Pattern of a brand and what follows it, longest brand first. Brands come as a list or as the
+    column `marca` of a catalogue; a catalogue's pattern is a scalar subquery, so nothing is collected."""
+    opening, tail = F.lit(r"\b("), F.lit(r")\b([\w\s.\-]*)")
+    if not isinstance(brands, DataFrame):
+        names = sorted(brands, key=lambda b: (-len(b), b))
+        return F.concat(opening, F.lit("|".join(re.sub(r"([^\w\s])", r"\\\1", b) for b in names)), tail)
+    name = F.regexp_replace("marca", r"(?U)([^\w\s])", r"\\$1")
+    longest_first = F.array_sort(F.collect_set(F.struct((-F.length("marca")).alias("n"), F.col("marca").alias("m"), name.alias("p"))))
+    return F.concat(opening, brands.agg(F.array_join(F.transform(longest_first, lambda x: x["p"]), "|").alias("p")).select("p").scalar(), tail)
 
 
-def model_named(c: Column, brands: Sequence[str]) -> Column:
-    """Last model of a message: the brand and up to three parts with digits or a capital first."""
-    pattern = brand_pattern(brands)
-    brand, tail = _last(c, pattern, 1), _last(c, pattern, 2)
+def with_model(df: DataFrame, column: str, pattern: Column, name: str) -> DataFrame:
+    """Adds the last model of a message. The pattern may be a scalar subquery, which functions over arrays
+    do not take, so what it finds becomes columns first."""
+    found = df.withColumns({"_marca": _last(F.col(column), pattern, 1), "_resto": _last(F.col(column), pattern, 2)})
+    return found.withColumn(name, model_of(F.col("_marca"), F.col("_resto"))).drop("_marca", "_resto")
+
+
+def model_of(brand: Column, tail: Column) -> Column:
+    """A model from what the pattern finds: the brand and up to three parts with digits or a capital first."""
     words = F.filter(F.split(tail, r"(?U)\s+"), lambda w: w != "")
     stops = F.transform(words, lambda w: ~(w.rlike(r"\d") | w.rlike(r"^\p{Lu}")))
     first_stop = F.array_position(stops, True)

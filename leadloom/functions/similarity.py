@@ -94,17 +94,30 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     )
 
 
+def token_set_floor(a: Column, b: Column) -> Column:
+    """Lower limit of `token_set_ratio` from the lengths of shared and other words alone."""
+    shared = F.length(F.array_join(F.array_intersect(a, b), " "))
+    rest_a, rest_b = (F.length(F.array_join(F.array_except(x, y), " ")) for x, y in ((a, b), (b, a)))
+    least = lambda rest: F.lit(200.0) * shared / (2 * shared + 1 + rest)
+    return F.when(shared > 0, F.greatest(least(rest_a), least(rest_b))).otherwise(F.lit(0.0))
+
+
 def partial_ratio(a: Column, b: Column) -> Column:
-    """Best similarity of the shorter text against same-length windows, prefixes and suffixes of the longer."""
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    """Best similarity of the shorter text against same-length windows, prefixes and suffixes of the
+    longer; of two texts of equal length either may be the longer."""
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
     m, n = F.length(short), F.length(long)
 
-    def window(i: Column) -> Column:
-        begin = F.greatest(i, F.lit(0))
-        size = F.least(i + m, n) - begin
-        piece = long.substr(begin + 1, size)
-        return F.lit(200.0) * lcs(short, piece) / (m + size)
+    def best(piece_of: Column, whole: Column) -> Column:
+        def window(i: Column) -> Column:
+            begin = F.greatest(i, F.lit(0))
+            size = F.least(i + m, n) - begin
+            return F.lit(200.0) * lcs(whole, piece_of.substr(begin + 1, size)) / (m + size)
+
+        return F.array_max(F.transform(F.sequence(F.lit(1) - m, n - 1), window))
 
-    starts = F.sequence(F.lit(1) - m, n - 1)
-    return F.when((m == 0) & (n == 0), F.lit(100.0)).when(m == 0, F.lit(0.0)).otherwise(F.array_max(F.transform(starts, window)))
+    return (
+        F.when((m == 0) & (n == 0), F.lit(100.0)).when(m == 0, F.lit(0.0))
+        .when(m == n, F.greatest(best(long, short), best(short, long))).otherwise(best(long, short))
+    )

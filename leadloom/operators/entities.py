@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed
 from leadloom.functions import text
-from leadloom.functions.similarity import token_set_ratio, tokens
+from leadloom.functions.similarity import token_set_floor, token_set_ratio, tokens
 from leadloom.operators.quality import LEADS_FILE, log_of, problem
 
 CLIENT = ("empresa_id", "clave_dedup")
-_CELL = 64  # names compared with each other in one step
+_TILE = 64  # names of one side of a tile
 
 
 def with_client_key(leads: DataFrame) -> DataFrame:
@@ -51,53 +51,37 @@ def with_principal(leads: DataFrame, clients_: DataFrame) -> DataFrame:
     return leads.join(principal, "lead_id", "left").withColumn("es_principal", F.coalesce("p", F.lit(False))).drop("p")
 
 
-def _lowest_in_cell(names: DataFrame, cell: list[str]) -> DataFrame:
-    """Lowest similarity between two names of the same cell."""
-    a = names.select(*cell, F.col("clave").alias("clave_a"), F.col("palabras").alias("a"))
-    b = names.select(*cell, F.col("clave").alias("clave_b"), F.col("palabras").alias("b"))
-    pairs = a.join(b, cell).filter(F.col("clave_a") < F.col("clave_b"))
-    return pairs.groupBy(*cell).agg(F.min(token_set_ratio(F.col("a"), F.col("b"))).alias("similitud"))
-
-
 def name_similarity(leads: DataFrame) -> DataFrame:
-    """Lowest name similarity per client with several leads: `similitud`.
+    """Lowest name similarity per client with several leads: `similitud`, by the same rule at every size.
 
-    Identical names collapse first. A group with up to 64 different names is compared in full. A
-    larger one (a shared switchboard number, say) is first compared with one of its names, which is
-    linear: a score below the limit settles the flag, and is the similarity reported. Only a large
-    group where every name is close to that one is compared further, in cells of at most 64 + 64 names
-    spread over the cluster.
+    Names with the same words collapse first. Comparing all with one of them gives an upper limit of the
+    minimum. The pairs are spread in tiles of bounded size; a pair whose shared words alone put it at the
+    limit cannot lower it, and only the others are compared letter by letter.
     """
     group = list(CLIENT)
-    names = leads.withColumn("clave", F.coalesce(text.match_key(F.col("nombre")), F.lit(""))).groupBy(*group, "clave").agg(
+    names = leads.withColumn("palabras", tokens(F.coalesce(text.match_key(F.col("nombre")), F.lit("")))).groupBy(*group, "palabras").agg(
         F.count(F.lit(1)).alias("veces"))
     sizes = names.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("distintos"), F.sum("veces").alias("leads"),
-        F.min("clave").alias("pivote"), F.max(F.when(F.col("clave") == "", 1).otherwise(0)).alias("vacio"),
-    ).filter("leads > 1")
-    settled = sizes.filter((F.col("distintos") == 1) | (F.col("vacio") == 1)).select(
-        *group, F.when(F.col("vacio") == 1, 0.0).otherwise(100.0).alias("similitud"))
-    several = sizes.filter((F.col("distintos") > 1) & (F.col("vacio") == 0)).select(*group, "distintos", "pivote")
-    members = names.join(several, group).withColumn("palabras", tokens(F.col("clave"))).select(
-        *group, "distintos", "pivote", "clave", "palabras")
-    small = _lowest_in_cell(members.filter(F.col("distintos") <= _CELL), group)
-
-    large = members.filter(F.col("distintos") > _CELL)
-    to_pivot = (
-        large.withColumn("s", token_set_ratio(F.col("palabras"), tokens(F.col("pivote"))))
-        .groupBy(*group).agg(F.min("s").alias("similitud"), F.max("distintos").alias("distintos"))
-    )
-    clear = to_pivot.filter(F.col("similitud") < fixed.NAME_COLLISION).select(*group, "similitud")
-    close = to_pivot.filter(F.col("similitud") >= fixed.NAME_COLLISION).select(*group)
-    tiles = F.ceil(F.col("distintos") / F.lit(_CELL)).cast("int")
+        F.count(F.lit(1)).alias("distintos"), F.sum("veces").alias("leads"), F.min("palabras").alias("pivote"),
+        F.bool_or(F.size("palabras") == 0).alias("vacio")).filter("leads > 1")
+    settled = sizes.filter("distintos = 1 OR vacio").select(*group, F.when(F.col("vacio"), 0.0).otherwise(100.0).alias("similitud"))
+    several = sizes.filter("distintos > 1 AND NOT vacio").select(*group, "distintos", "pivote")
+    members = names.join(several, group).select(*group, "distintos", "pivote", "palabras")
+    limits = members.filter("palabras <> pivote").groupBy(*group).agg(F.min(token_set_ratio(F.col("palabras"), F.col("pivote"))).alias("cota"))
+    tiles = F.ceil(F.col("distintos") / F.lit(_TILE)).cast("int")
     tiled = (
-        large.join(close, group, "left_semi")
-        .withColumn("tile", F.pmod(F.xxhash64("clave"), tiles).cast("int"))
+        members.withColumn("tile", F.pmod(F.xxhash64("palabras"), tiles).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select(*group, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "clave", "palabras")
+        .select(*group, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "palabras")
+    )
+    cell = [*group, "t1", "t2"]
+    pairs = (
+        tiled.withColumnRenamed("palabras", "a").join(tiled.withColumnRenamed("palabras", "b"), cell).filter(F.col("a") < F.col("b"))
+        .join(limits, group).filter(token_set_floor(F.col("a"), F.col("b")) < F.col("cota"))
     )
-    rest = _lowest_in_cell(tiled, [*group, "t1", "t2"]).groupBy(*group).agg(F.min("similitud").alias("similitud"))
-    return settled.unionByName(small).unionByName(clear).unionByName(rest)
+    lower = pairs.groupBy(*group).agg(F.min(token_set_ratio(F.col("a"), F.col("b"))).alias("menor"))
+    rest = limits.join(lower, group, "left").select(*group, F.least("cota", "menor").alias("similitud"))
+    return settled.unionByName(rest)
 
 
 def collisions(leads: DataFrame) -> DataFrame:

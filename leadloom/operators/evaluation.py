@@ -224,16 +224,19 @@ def kept(factor: Column, effect: Column) -> Column:
 def base_probability(df: DataFrame, factors: DataFrame, effects=fixed.CAUSAL_EFFECTS) -> DataFrame:
     """Same-day closing probability per temperature and assumed causal effect."""
     last = fixed.MAX_WAIT_DAYS
-    counts = df.groupBy("temperatura", F.least(F.lit(last), F.floor(F.col("horas_al_primer_contacto") / 24).cast("int")).alias("dia")).agg(
+    counts = df.groupBy("temperatura", F.least(F.lit(last), F.greatest(F.lit(0), F.floor(F.col("horas_al_primer_contacto") / 24).cast("int"))).alias("dia")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("cerrado").alias("cierres"))
     rows = counts.join(factors, "dia").withColumn("efecto", F.explode(F.array(*map(F.lit, effects))))
     return rows.groupBy("temperatura", "efecto").agg(ratio(F.sum("cierres"), F.sum(F.col("n") * kept(F.col("factor"), F.col("efecto")))).alias("base"))
 
 
 def expected_closings(attended: DataFrame, base: DataFrame, factors: DataFrame) -> DataFrame:
-    """Expected closings of attended leads (`temperatura`, `espera` in days) per assumed effect."""
+    """Expected closings of attended leads (`temperatura`, `espera` in days) per assumed effect. A wait
+    without a factor or a temperature without a base fails the run: no lead is left out."""
     counts = attended.groupBy("temperatura", F.col("espera").cast("int").alias("dia")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(factors, "dia").join(base, "temperatura")
+    rows = counts.join(factors, "dia", "left").join(base, "temperatura", "left")
+    known = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"expected closings: no {c} for "), what.cast("string"))).cast("double"))
+    rows = rows.withColumns({"factor": known("factor", F.coalesce("dia", F.lit(-1))), "base": known("base", F.coalesce("temperatura", F.lit("null")))})
     return rows.groupBy("efecto").agg(F.sum(F.col("n") * F.col("base") * kept(F.col("factor"), F.col("efecto"))).alias("cierres_esperados"))
 
 
@@ -309,20 +312,19 @@ def vocabulary(messages: DataFrame, names: list[str]) -> DataFrame:
     return phrase_templates(messages, names).agg(F.count(F.lit(1)).alias("mensajes"), F.count_distinct("molde").alias("moldes"))
 
 
-def stratified_sample(messages: DataFrame, chats: DataFrame, brands: list[str], size: int = fixed.SAMPLE_SIZE, quota_: int = fixed.PER_STRATUM) -> DataFrame:
+def stratified_sample(messages: DataFrame, chats: DataFrame, brands: Column, size: int = fixed.SAMPLE_SIZE, quota_: int = fixed.PER_STRATUM) -> DataFrame:
     """Deterministic sample: two chats per difficulty, first ids first, completed with ordinary ones.
 
     Every chat is marked once. Only the first few candidates of each stratum can be chosen, so the
     sequential choice runs over a table whose size depends on the number of strata alone.
     """
-    from leadloom.functions.chat import brand_pattern
     from leadloom.functions.text import FLAGS, matches, squeeze
     from leadloom.operators.extraction import CHAT, client_messages
 
     said = client_messages(messages)
-    pattern = brand_pattern(brands).replace(r"([\w\s.\-]*)", r"[\w\s.\-]{0,20}")
-    named = F.transform(F.regexp_extract_all("texto", F.lit(FLAGS + pattern), F.lit(0)), lambda m: squeeze(m))
-    marks = said.withColumn("modelos", named).groupBy(CHAT).agg(
+    pattern = F.replace(brands, F.lit(r"([\w\s.\-]*)"), F.lit(r"[\w\s.\-]{0,20}"))
+    found = said.withColumn("halladas", F.regexp_extract_all("texto", F.concat(F.lit(FLAGS), pattern), F.lit(0)))
+    marks = found.withColumn("modelos", F.transform("halladas", lambda m: squeeze(m))).groupBy(CHAT).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.array_min("modelos")).alias("m1"), F.max(F.array_max("modelos")).alias("m2"),
         *(F.bool_or(matches(F.col("texto"), p)).alias(f"e_{n}") for n, p in fixed.STRATA.items()))
     df = chats.select(CHAT).join(marks, CHAT, "left")

@@ -28,14 +28,14 @@ def client_messages(messages: DataFrame) -> DataFrame:
     return messages.filter((F.col("emisor") == "cliente") & ~text.is_blank(F.col("texto"))).withColumn("texto", text.strip(F.col("texto")))
 
 
-def message_signals(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
+def message_signals(messages: DataFrame, brands: Column) -> DataFrame:
     t = F.col("texto")
-    return client_messages(messages).withColumns({
-        "monto": chat.amount(t), "modelo": chat.model_named(t, brands), **chat.signals(t)})
+    return chat.with_model(client_messages(messages), "texto", brands, "modelo").withColumns({"monto": chat.amount(t), **chat.signals(t)})
 
 
-def rule_extraction(chats: DataFrame, messages: DataFrame, brands: Sequence[str]) -> DataFrame:
-    """One extraction per chat; chats without client messages get the defaults of a silent client."""
+def rule_extraction(chats: DataFrame, messages: DataFrame, brands: Column) -> DataFrame:
+    """One extraction per chat; chats without client messages get the defaults of a silent client.
+    `brands` is the mention pattern (`chat.brand_pattern`)."""
     marked = message_signals(messages, brands)
     order, t = F.col("orden"), F.col("texto")
 
@@ -89,13 +89,11 @@ def evidence_map(quotes: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def evidence_list_to_map(pairs: Column) -> Column:
-    """Array of (campo, fragmento) as a map; a repeated field keeps its last quote."""
-    later = F.transform(pairs, lambda p, i: F.struct(
-        p["campo"].alias("key"), p["fragmento"].alias("value"),
-        F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["campo"] == p["campo"]).alias("again")))
-    kept = F.filter(later, lambda p: ~p["again"])
-    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["key"], p["value"])))
+def evidence_list_to_map(quotes: DataFrame, order: str) -> DataFrame:
+    """Quotes (chat, campo, fragmento, `order`) as one map per chat; a repeated field keeps its last quote.
+    A chat has as many entries as fields, whatever the length of its list."""
+    last = quotes.groupBy(CHAT, "campo").agg(F.max_by("fragmento", order).alias("fragmento"))
+    return last.groupBy(CHAT).agg(F.map_from_entries(F.collect_list(F.struct("campo", "fragmento"))).alias("evidencia"))
 
 
 # --- content cache ----------------------------------------------------------------------------
@@ -112,6 +110,15 @@ def fingerprints(messages: DataFrame, columns: Sequence[str] = ("emisor", "hora"
     return summed.select(CHAT, F.concat_ws("-", F.col("n").cast("string"), *(F.lower(F.hex(f"w{i}")) for i in range(4))).alias("hash_contenido"))
 
 
+NO_MESSAGES = "0-0-0-0-0"
+
+
+def content_hashes(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    """Content hash of every chat; that of a chat without messages is the hash of the empty list."""
+    found = chats.select(CHAT).join(fingerprints(messages), CHAT, "left")
+    return found.select(CHAT, F.coalesce("hash_contenido", F.lit(NO_MESSAGES)).alias("hash_contenido"))
+
+
 def extract_with_cache(chats: DataFrame, messages: DataFrame, hashes: DataFrame, cache: DataFrame,
                        extractor: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(extraction of every chat, chats that had to be computed).
@@ -119,7 +126,7 @@ def extract_with_cache(chats: DataFrame, messages: DataFrame, hashes: DataFrame,
     Cached content is looked up; of the rest, one chat per distinct content is extracted and its
     result goes back to every chat with that content.
     """
-    keyed = chats.select(CHAT).join(hashes, CHAT)
+    keyed = chats.select(CHAT).join(hashes, CHAT, "left").withColumn("hash_contenido", F.coalesce("hash_contenido", F.lit(NO_MESSAGES)))
     pending = keyed.join(cache.select("hash_contenido"), "hash_contenido", "left_anti")
     chosen = pending.groupBy("hash_contenido").agg(F.min(CHAT).alias(CHAT))
     fresh = extractor(chosen.select(CHAT), messages.join(chosen.select(CHAT), CHAT, "left_semi"))
@@ -129,10 +136,13 @@ def extract_with_cache(chats: DataFrame, messages: DataFrame, hashes: DataFrame,
 
 
 def with_fallback(chats: DataFrame, messages: DataFrame, primary: DataFrame,
-                  fallback: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Schema-valid primary rows of known chats win; rules resolve the rest. `extractor` says which."""
+                  fallback: Callable[[DataFrame, DataFrame], DataFrame], order: str) -> DataFrame:
+    """Schema-valid primary rows of known chats win, of several for a chat the last by `order`; rules
+    resolve the rest. `extractor` says which."""
     ids = chats.select(CHAT)
-    good = primary.filter(_valid_row()).join(ids, CHAT, "left_semi")
+    valid = primary.filter(_valid_row()).join(ids, CHAT, "left_semi")
+    rest_of = [c for c in primary.columns if c not in (CHAT, order)]
+    good = valid.groupBy(CHAT).agg(F.max_by(F.struct(*rest_of), order).alias("r")).select(CHAT, "r.*")
     rest = ids.join(good.select(CHAT), CHAT, "left_anti")
     ruled = fallback(rest, messages.join(rest, CHAT, "left_semi"))
     return good.withColumn("extractor", F.lit(fixed.PRIMARY_NAME)).unionByName(ruled.withColumn("extractor", F.lit(fixed.RULES_NAME)))

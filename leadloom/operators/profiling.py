@@ -234,18 +234,28 @@ def chat_lengths(messages: DataFrame) -> DataFrame:
                    F.avg("cliente").alias("media_cliente"), F.count_if(silent).alias("sin_respuesta"))
 
 
-def lexicon_tags(rows: DataFrame, key: str, column: str, lexicon: dict[str, Sequence[str]] = fixed.LEXICON) -> DataFrame:
-    """Items with any phrase of each tag, their share, and the items without objection words.
+def lexicon_tags(items: DataFrame, rows: DataFrame, key: str, column: str, lexicon: dict[str, Sequence[str]] = fixed.LEXICON) -> DataFrame:
+    """Items with any phrase of each tag, their share of all `items`, and the items without objection words
+    (`ninguna`), among them those without rows. Amounts are searched in folded text, those with a
+    currency sign in the text itself.
 
     Tags are literal phrases checked inside one projection: no join, and an item counts once per tag
     however many rows it has.
     """
     folded = text.match_key(F.col(column))
     marks = {f"t_{i}": F.coalesce(_any_phrase(folded, phrases), F.lit(False)) for i, phrases in enumerate(lexicon.values())}
-    shapes = {f"m_{i}": F.coalesce(F.rlike(F.lower(F.col(column)), F.lit("(?U)" + p)), F.lit(False)) for i, p in enumerate([*fixed.AMOUNT_SHAPES.values(), fixed.ZERO_AMOUNT])}
-    names = [*lexicon, *fixed.AMOUNT_SHAPES, "cero"]
+    searched = lambda n: F.col(column) if "$" in n else folded
+    patterns = {**fixed.AMOUNT_SHAPES, "cero": fixed.ZERO_AMOUNT}
+    shapes = {f"m_{i}": F.coalesce(F.rlike(searched(n), F.lit("(?U)" + p)), F.lit(False)) for i, (n, p) in enumerate(patterns.items())}
+    names = [*lexicon, *patterns, "ninguna"]
     all_marks = {**marks, **shapes}
-    per = rows.select(key, *(c.alias(n) for n, c in all_marks.items())).groupBy(key).agg(*(F.bool_or(n).alias(n) for n in all_marks))
+    found = rows.select(key, *(c.alias(n) for n, c in all_marks.items())).groupBy(key).agg(*(F.bool_or(n).alias(n) for n in all_marks))
+    per = items.select(key).distinct().join(found, key, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in all_marks})
+    objected = F.lit(False)
+    for i, n in enumerate(lexicon):
+        objected = objected | F.col(f"t_{i}") if n in fixed.LEXICON_OBJECTIONS else objected
+    per = per.withColumn("ninguna", ~objected)
+    all_marks = [*all_marks, "ninguna"]
     one = per.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(n).alias(n) for n in all_marks))
     return one.select("total", F.inline(F.array(*(F.struct(F.lit(label).alias("etiqueta"), F.col(n).alias("n")) for label, n in zip(names, all_marks, strict=True))))).select(
         "etiqueta", "n", ratio(F.col("n"), F.col("total")).alias("proporcion"))

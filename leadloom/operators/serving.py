@@ -14,7 +14,7 @@ VERSION = r"^v[1-9][0-9]*$"
 
 def version_number(c: Column) -> Column:
     """Number of a version name (`v10` is 10); NULL when the name is malformed."""
-    return F.when(c.rlike(VERSION), F.substring(c, 2, 12).cast("int"))
+    return F.when(c.rlike(VERSION), F.substring(c, 2, 2_147_483_647).try_cast("decimal(38,0)"))
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:

@@ -10,16 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed
+from leadloom.functions import chat
 from leadloom.operators import assignment, catalogue, consolidate, entities, extraction, quality, scoring, standardize
 from leadloom.operators.quality import CHATS_FILE, log_of, problem
 from leadloom.sources.tables import materialize
 
-MAX_BRANDS = 2000
-
 
 def stage(builder: Callable[[Daily], DataFrame]) -> property:
     """A property that builds its table once and, when the plan materialises, writes it."""
@@ -39,15 +38,6 @@ def stage(builder: Callable[[Daily], DataFrame]) -> property:
 BUILDERS: dict[str, Callable[[Daily], DataFrame]] = {}
 
 
-def brand_list(models: DataFrame) -> list[str]:
-    """Brands of the catalogue for the mention pattern. A pattern must be a literal, so its size is
-    checked; beyond it the catalogue is not a catalogue and the run stops."""
-    rows = models.select("marca").distinct().limit(MAX_BRANDS + 1).collect()
-    if len(rows) > MAX_BRANDS:
-        raise ValueError(f"more than {MAX_BRANDS} brands: the mention pattern needs a closed brand list")
-    return sorted(r.marca for r in rows)
-
-
 class Daily:
     """Stages over `inputs`: an object with leads(), catalogue(), advisors(), history(), chats() and messages()."""
 
@@ -94,8 +84,9 @@ class Daily:
         return standardize.standardize_history(self.inputs.history())
 
     @cached_property
-    def brands(self) -> list[str]:
-        return brand_list(self.catalogue)
+    def brands(self) -> Column:
+        """Mention pattern of the catalogue's brands."""
+        return chat.brand_pattern(self.catalogue)
 
     @stage
     def matched(self) -> DataFrame:

@@ -116,8 +116,10 @@ CTES.update({
     "m_brand": (
         f"SELECT limpio, NULL AS sku, arg_min(marca, (-puntaje, marca)) AS marca, max(puntaje) AS puntaje, 'modelo_ambiguo' AS regla FROM ("
         f"SELECT limpio, marca, max(200::DOUBLE * ({lcs('sh', 'w')}) / (m + length(w))) AS puntaje FROM (SELECT *, {_piece} AS w FROM ("
-        f"SELECT *, {_windows} AS i FROM (SELECT limpio, marca, {_short} AS sh, {_long} AS lo, least(length(mb), length(limpio)) AS m, greatest(length(mb), length(limpio)) AS n "
-        "FROM textos, (SELECT DISTINCT marca, lower(marca) AS mb FROM cat) AS br) AS w0) AS w1) AS w2 GROUP BY limpio, marca) AS g WHERE puntaje >= 85 GROUP BY limpio", ("textos", "cat")),
+        f"SELECT *, {_windows} AS i FROM (SELECT * FROM brand_sides UNION ALL SELECT limpio, marca, lo, sh, m, n FROM brand_sides WHERE m = n) AS w0) AS w1) AS w2 GROUP BY limpio, marca) AS g WHERE puntaje >= 85 GROUP BY limpio", ("brand_sides",)),
+    "brand_sides": (
+        f"SELECT limpio, marca, {_short} AS sh, {_long} AS lo, least(length(mb), length(limpio)) AS m, greatest(length(mb), length(limpio)) AS n "
+        "FROM textos, (SELECT DISTINCT marca, lower(marca) AS mb FROM cat) AS br", ("textos", "cat")),
     "resolved": (
         "SELECT * FROM m_full UNION ALL SELECT * FROM m_line WHERE limpio NOT IN (SELECT limpio FROM m_full) UNION ALL SELECT * FROM m_brand WHERE limpio NOT IN (SELECT limpio FROM m_full) "
         "AND limpio NOT IN (SELECT limpio FROM m_line)", ("m_full", "m_line", "m_brand")),

@@ -84,7 +84,7 @@ def amounts(spark, folder) -> DataFrame:
 def mentions(spark, folder) -> DataFrame:
     d = daily(spark, folder)
     m = extraction.client_messages(d.messages)
-    return m.select(ID, "orden", chat.model_named(F.col("texto"), d.brands).alias("modelo")).filter(F.col("modelo").isNotNull())
+    return chat.with_model(m, "texto", d.brands, "modelo").select(ID, "orden", "modelo").filter(F.col("modelo").isNotNull())
 
 
 EXT = ("conversacion_id", "modelo_texto", "cuota_inicial_cop", "menciona_cuota", "forma_pago", "intencion", "objecion", "pidio_cita", "pidio_cotizacion", "cliente_respondio")
@@ -120,19 +120,21 @@ def unknown_fields(spark, folder) -> DataFrame:
     return df.select(ID, "cuota_inicial_cop", "menciona_cuota", "forma_pago", "objecion", "pidio_cita", "cliente_respondio", "intencion")
 
 
-# Claimed quotes: the client's own words, words of the advisor, words with a slip, and a quote that
-# the advisor may give. They are derived from every chat's first messages.
+# Claimed quotes, whole messages of every chat: the client's own words, words of the advisor, words with
+# a slip, a quote that the advisor may give, and one that crosses two messages of the client.
 CLAIMS = (
-    "SELECT conversacion_id, 'pidio_cita' AS campo, arg_min(substr(texto, 1, 60), orden) AS fragmento FROM {msg} WHERE emisor = 'cliente' AND trim(texto) <> '' GROUP BY conversacion_id "
+    "SELECT conversacion_id, 'pidio_cita' AS campo, arg_min(texto, orden) AS fragmento FROM {msg} WHERE emisor = 'cliente' AND trim(texto) <> '' GROUP BY conversacion_id "
     "UNION ALL SELECT conversacion_id, 'objecion', arg_min('asesor [10:00]: ' || texto, orden) FROM {msg} WHERE emisor = 'asesor' AND trim(texto) <> '' GROUP BY conversacion_id "
-    "UNION ALL SELECT conversacion_id, 'forma_pago', arg_max(replace(substr(texto, 1, 90), 'en', 'enn'), orden) FROM {msg} WHERE emisor = 'cliente' AND trim(texto) <> '' GROUP BY conversacion_id "
-    "UNION ALL SELECT conversacion_id, 'cliente_respondio', arg_max(texto, orden) FROM {msg} WHERE emisor = 'asesor' AND trim(texto) <> '' GROUP BY conversacion_id"
+    "UNION ALL SELECT conversacion_id, 'forma_pago', arg_max(replace(texto, 'en', 'enn'), orden) FROM {msg} WHERE emisor = 'cliente' AND trim(texto) <> '' GROUP BY conversacion_id "
+    "UNION ALL SELECT conversacion_id, 'cliente_respondio', arg_max(texto, orden) FROM {msg} WHERE emisor = 'asesor' AND trim(texto) <> '' GROUP BY conversacion_id "
+    "UNION ALL SELECT f.conversacion_id, 'pidio_cotizacion', any_value(f.t) || ' ' || arg_min(m.texto, m.orden) FROM (SELECT conversacion_id, min(orden) AS o, arg_min(texto, orden) AS t FROM {msg} "
+    "WHERE emisor = 'cliente' AND trim(texto) <> '' GROUP BY conversacion_id) AS f JOIN {msg} AS m ON m.conversacion_id = f.conversacion_id AND m.orden > f.o AND m.emisor = 'cliente' AND trim(m.texto) <> '' GROUP BY f.conversacion_id"
 )
 
 
 def claims(d) -> DataFrame:
     rows = d.messages.sparkSession.sql(CLAIMS.replace("arg_min", "min_by").replace("arg_max", "max_by"), msg=d.messages)
-    entry = F.map_from_entries(F.collect_set(F.struct("campo", "fragmento")))  # four quotes per chat at most
+    entry = F.map_from_entries(F.collect_set(F.struct("campo", "fragmento")))  # five quotes per chat at most
     return rows.groupBy(ID).agg(entry.alias("evidencia"))
 
 
@@ -160,20 +162,20 @@ def evidence_audit(spark, folder) -> DataFrame:
 
 
 @reg.query("x14_evidence_map", with_ctes(
-    "SELECT conversacion_id, arg_max(texto, orden) FILTER (emisor = 'cliente') AS cliente, arg_max(texto, orden) FILTER (emisor = 'asesor') AS asesor FROM msg WHERE orden <= 8 GROUP BY conversacion_id"))
+    "SELECT conversacion_id, arg_max(texto, orden) FILTER (emisor = 'cliente') AS cliente, arg_max(texto, orden) FILTER (emisor = 'asesor') AS asesor FROM msg GROUP BY conversacion_id"))
 def evidence_map(spark, folder) -> DataFrame:
-    first = daily(spark, folder).messages.filter("orden <= 8")  # a list field of one record: eight pairs
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("orden", "emisor", "texto"))), lambda m: F.struct(m["emisor"].alias("campo"), m["texto"].alias("fragmento")))
-    df = first.groupBy(ID).agg(extraction.evidence_list_to_map(pairs).alias("e"))
-    return df.select(ID, F.try_element_at("e", F.lit("cliente")).alias("cliente"), F.try_element_at("e", F.lit("asesor")).alias("asesor"))
+    quotes = daily(spark, folder).messages.select(ID, F.col("emisor").alias("campo"), F.col("texto").alias("fragmento"), "orden")
+    df = extraction.evidence_list_to_map(quotes, "orden")
+    return df.select(ID, F.try_element_at("evidencia", F.lit("cliente")).alias("cliente"), F.try_element_at("evidencia", F.lit("asesor")).alias("asesor"))
 
 
 _DIGEST = "sha256(concat_ws(chr(1), CAST(orden AS VARCHAR), coalesce(emisor, chr(0)), coalesce(hora, chr(0)), coalesce(texto, chr(0))))"
 HASH = {
     "hashes": ("SELECT conversacion_id, concat_ws('-', CAST(count(*) AS VARCHAR), " + ", ".join(
         f"printf('%x', bit_xor(CAST('0x' || substr(dg, {1 + 15 * i}, 15) AS BIGINT)))" for i in range(4)) + f") AS hash_contenido FROM (SELECT *, {_DIGEST} AS dg FROM msg) AS z GROUP BY conversacion_id", ("msg",)),
-    # a second copy of every third chat: equal content under another id
-    "twins": ("SELECT conversacion_id, hash_contenido FROM hashes UNION ALL SELECT conversacion_id + 1000000, hash_contenido FROM hashes WHERE conversacion_id % 3 = 0", ("hashes",)),
+    # a second copy of every third chat: equal content under another id; and chats without any message
+    "twins": ("SELECT conversacion_id, hash_contenido FROM hashes UNION ALL SELECT conversacion_id + 1000000, hash_contenido FROM hashes WHERE conversacion_id % 3 = 0 "
+              "UNION ALL SELECT conversacion_id + 2000000, '0-0-0-0-0' FROM hashes WHERE conversacion_id % 5 = 0", ("hashes",)),
     "cached": ("SELECT DISTINCT hash_contenido FROM hashes WHERE conversacion_id % 4 = 0", ("hashes",)),
 }
 
@@ -184,11 +186,13 @@ def fingerprint(spark, folder) -> DataFrame:
 
 
 def twins(d) -> tuple[DataFrame, DataFrame]:
-    """(chats, messages) where every third chat appears again under another id."""
+    """(chats, messages) where every third chat appears again under another id, and for every fifth there
+    is a chat without messages."""
     again = F.when(F.col(ID) % 3 == 0, F.array(F.lit(0), F.lit(1000000))).otherwise(F.array(F.lit(0)))
-    def copied(df):
-        return df.withColumn("_k", F.explode(again)).withColumn(ID, F.col(ID) + F.col("_k")).drop("_k")
-    return copied(d.chats), copied(d.messages)
+    silent = F.when(F.col(ID) % 5 == 0, F.array(F.lit(2000000))).otherwise(F.array().cast("array<int>"))
+    def copied(df, to):
+        return df.withColumn("_k", F.explode(to)).withColumn(ID, F.col(ID) + F.col("_k")).drop("_k")
+    return copied(d.chats, F.concat(again, silent)), copied(d.messages, again)
 
 
 def cache_of(d) -> DataFrame:
@@ -198,7 +202,7 @@ def cache_of(d) -> DataFrame:
 
 
 @reg.query("j4_cache_split", with_ctes(
-    "SELECT t.conversacion_id, t.hash_contenido, c.hash_contenido IS NOT NULL AS en_cache, e.forma_pago, e.cuota_inicial_cop FROM twins AS t LEFT JOIN cached AS c USING (hash_contenido) "
+    "SELECT t.conversacion_id, t.hash_contenido, c.hash_contenido IS NOT NULL AS en_cache, CASE WHEN t.conversacion_id < 2000000 THEN e.forma_pago ELSE 'no_informa' END AS forma_pago, CASE WHEN t.conversacion_id < 2000000 THEN e.cuota_inicial_cop END AS cuota_inicial_cop FROM twins AS t LEFT JOIN cached AS c USING (hash_contenido) "
     "JOIN ext AS e ON e.conversacion_id = t.conversacion_id % 1000000", HASH))
 def cache_split(spark, folder) -> DataFrame:
     d = daily(spark, folder)
@@ -213,10 +217,13 @@ def cache_split(spark, folder) -> DataFrame:
 @reg.query("x16_fallback_routing", with_ctes(
     "SELECT conversacion_id, CASE WHEN conversacion_id % 3 = 0 AND conversacion_id % 2 = 0 THEN 'gemini' ELSE 'reglas' END AS extractor, CASE WHEN conversacion_id % 6 = 0 THEN 'alta' ELSE intencion END AS intencion FROM ext"))
 def fallback(spark, folder) -> DataFrame:
-    """Primary results exist for every third chat; half of them break the schema."""
+    """Primary results exist for every third chat; half of them break the schema. An earlier row says
+    otherwise, and a later one breaks the schema: the last valid row counts."""
     d = daily(spark, folder)
-    primary = d.extraction.filter(F.col(ID) % 3 == 0).withColumn("intencion", F.when(F.col(ID) % 2 == 0, "alta").otherwise("altisima"))
-    out = extraction.with_fallback(d.chats, d.messages, primary, lambda c, m: extraction.rule_extraction(c, m, d.brands))
+    primary = d.extraction.filter(F.col(ID) % 3 == 0).withColumn("intencion", F.when(F.col(ID) % 2 == 0, "alta").otherwise("altisima")).withColumn("fila", F.lit(2))
+    earlier = primary.filter(F.col(ID) % 2 == 0).withColumns({"intencion": F.lit("baja"), "fila": F.lit(1)})
+    later = earlier.withColumns({"intencion": F.lit("ninguna"), "fila": F.lit(3)})
+    out = extraction.with_fallback(d.chats, d.messages, primary.unionByName(earlier).unionByName(later), lambda c, m: extraction.rule_extraction(c, m, d.brands), "fila")
     return out.select(ID, "extractor", "intencion")
 
 

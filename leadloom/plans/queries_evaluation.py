@@ -227,9 +227,13 @@ REWRITES = [("Lo pago de contado", "Se la cancelo completa"), ("Los visito hoy",
             ("Solo estaba mirando", "No es nada \\ serio, $0"), ("mirando", "viendo")]
 
 
-def _rewritten() -> str:
+ORDERED = sorted(REWRITES, key=lambda s: (-len(s[0]), s[0]))
+
+
+def _rewritten(steps: int = len(REWRITES)) -> str:
+    """The text after so many substitutions."""
     expr = "texto"
-    for a, b in sorted(REWRITES, key=lambda s: (-len(s[0]), s[0])):
+    for a, b in ORDERED[:steps]:
         expr = f"regexp_replace({expr}, '{a}', '{b.replace(chr(92), chr(92) * 2)}', 'gi')"
     return expr
 
@@ -239,11 +243,12 @@ def rewrites(spark, folder) -> DataFrame:
     return ev.rewrite_clients(daily(spark, folder).messages, REWRITES).select(ID, "orden", "texto", "cambiado")
 
 
-@reg.query("e20_rewrite_use", with_ctes("SELECT s.original, count(m.conversacion_id) AS mensajes FROM (VALUES " + ", ".join(f"('{a}')" for a, _ in REWRITES if a not in ("tengo", "mirando")) + ") AS s(original) LEFT JOIN msg AS m ON m.emisor = 'cliente' AND contains(lower(m.texto), lower(s.original)) GROUP BY 1"))
+@reg.query("e20_rewrite_use", with_ctes(" UNION ALL ".join(
+    f"SELECT '{a}' AS original, count(*) FILTER (emisor = 'cliente' AND contains(lower({_rewritten(i)}), lower('{a}'))) AS mensajes FROM msg" for i, (a, _) in enumerate(ORDERED))))
 def rewrite_use(spark, folder) -> DataFrame:
     """Messages that used each declared substitution; zero for the unused ones."""
     used = ev.rewrite_clients(daily(spark, folder).messages, REWRITES).select(F.explode("usadas").alias("original")).groupBy("original").agg(F.count(F.lit(1)).alias("mensajes"))
-    declared = spark.createDataFrame([(a,) for a, _ in REWRITES if a not in ("tengo", "mirando")], "original string")
+    declared = spark.createDataFrame([(a,) for a, _ in REWRITES], "original string")
     return declared.join(used, "original", "left").select("original", F.coalesce("mensajes", F.lit(0)).alias("mensajes"))
 
 
@@ -257,13 +262,6 @@ def robust_accuracy(spark, folder) -> DataFrame:
         ev.field_accuracy(labels, after).withColumn("version", F.lit("reformulado")))
 
 
-def vocabulary_names(d) -> list[str]:
-    rows = d.catalogue.select("marca", "linea", "nombre_completo").limit(5001).collect()
-    if len(rows) > 5000:
-        raise ValueError("the catalogue has more than 5000 models: pass the names to look for")
-    return sorted({x for r in rows for x in r})
-
-
 _NAMES = sorted({*ADJECTIVES, *NOUNS, *(f"{a} {n}" for a in ADJECTIVES for n in NOUNS)}, key=lambda n: (-len(n), n))
 _MOLDE = f"lower(regexp_replace(regexp_replace(regexp_replace(texto, '{'|'.join(_NAMES)}', '<MOTO>', 'gi'), '\\$?\\s?\\d[\\d.,]*', '<N>', 'g'), '^\\s+|\\s+$', '', 'g'))"
 

@@ -201,19 +201,22 @@ def _tags_sql(source: str, idc: str, col: str) -> str:
     k = key(col)
     marks = {n: " OR ".join(f"contains({k}, '{p}')" for p in ps) for n, ps in fixed.LEXICON.items()}
     bound = r"(?:^|$|[^\p{L}\p{N}_])"
-    marks |= {n: f"regexp_matches(lower({col}), '{p.replace(chr(92) + 'b', bound)}')" for n, p in {**fixed.AMOUNT_SHAPES, "cero": fixed.ZERO_AMOUNT}.items()}
-    per = ", ".join(f"bool_or(coalesce({m}, false)) AS t{i}" for i, m in enumerate(marks.values()))
+    marks |= {n: f"regexp_matches({col if '$' in n else k}, '{p.replace(chr(92) + 'b', bound)}')" for n, p in {**fixed.AMOUNT_SHAPES, "cero": fixed.ZERO_AMOUNT}.items()}
+    per = ", ".join(f"coalesce(bool_or(coalesce({m}, false)), false) AS t{i}" for i, m in enumerate(marks.values()))
     rows = " UNION ALL ".join(f"SELECT '{n}' AS etiqueta, count(*) FILTER (t{i}) AS n, round(count(*) FILTER (t{i}) / count(*)::DOUBLE, 9) AS proporcion FROM per" for i, n in enumerate(marks))
+    none = " AND ".join(f"NOT t{i}" for i, n in enumerate(marks) if n in fixed.LEXICON_OBJECTIONS)
+    rows += f" UNION ALL SELECT 'ninguna', count(*) FILTER ({none}), round(count(*) FILTER ({none}) / count(*)::DOUBLE, 9) FROM per"
     return rows, f"SELECT {idc}, {per} FROM {source} GROUP BY {idc}"
 
 
-_rows, _per = _tags_sql("(SELECT * FROM msg WHERE emisor = 'cliente') AS m", "conversacion_id", "texto")
+_rows, _per = _tags_sql("(SELECT c.conversacion_id, m.texto FROM chats_raw AS c LEFT JOIN (SELECT * FROM msg WHERE emisor = 'cliente') AS m USING (conversacion_id)) AS m", "conversacion_id", "texto")
 
 
-@reg.query("x19_chat_tags", with_ctes(_rows, {"per": (_per, ("msg",))}))
+@reg.query("x19_chat_tags", with_ctes(_rows, {"per": (_per, ("msg", "chats_raw"))}))
 def chat_tags(spark, folder) -> DataFrame:
-    mine = daily(spark, folder).messages.filter(F.col("emisor") == "cliente")
-    return rounded(pf.lexicon_tags(mine, ID, "texto"), "proporcion")
+    d = daily(spark, folder)
+    mine = d.messages.filter(F.col("emisor") == "cliente")
+    return rounded(pf.lexicon_tags(d.chats, mine, ID, "texto"), "proporcion")
 
 
 @reg.query("x18_models_mentioned", with_ctes(

@@ -71,20 +71,23 @@ def users(d) -> DataFrame:
 
 # --- sources and writes -----------------------------------------------------------------------
 @reg.query("s1_csv_scan", with_ctes("SELECT lead_id::VARCHAR AS lead_id, empresa_id::VARCHAR AS empresa_id, punto_venta_id::VARCHAR AS punto_venta_id, orden_archivo::VARCHAR AS orden_archivo, "
-                                    + ", ".join(f"CASE WHEN trim({c}) <> '' THEN {c} END AS {c}" for c in RAW if not c.endswith("_id")) + " FROM raw"))
+                                    + ", ".join(f"CASE WHEN trim({c}) <> '' THEN {c} END AS {c}" for c in RAW if not c.endswith("_id"))
+                                    + " FROM (SELECT * REPLACE (nombre_cliente || chr(10) || '\"2\"' AS nombre_cliente) FROM raw) AS b"))
 def csv_scan(spark, folder) -> DataFrame:
     path = tables.new_path(spark, "leads-csv")
-    daily(spark, folder).raw_leads.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"')
+    broken = F.concat("nombre_cliente", F.lit("\n\"2\""))  # a line break and quotes inside a quoted field
+    daily(spark, folder).raw_leads.withColumn("nombre_cliente", broken).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"')
     return readers.read_csv(spark, path, "leads")
 
 
-@reg.query("s2_json_scan", with_ctes("SELECT conversacion_id || '-' || orden AS conversacion_id, 1::BIGINT AS orden, emisor, hora, texto FROM msg"))
+@reg.query("s2_json_scan", with_ctes("SELECT CAST(conversacion_id AS VARCHAR) AS conversacion_id, row_number() OVER (PARTITION BY conversacion_id ORDER BY orden) AS orden, emisor, hora, texto FROM msg"))
 def json_scan(spark, folder) -> DataFrame:
-    """Every message as a chat object of its own, written and read back as nested JSON."""
+    """Chats with all their messages, written as nested JSON objects and read back."""
     path = tables.new_path(spark, "chats-json")
-    m = daily(spark, folder).messages
-    m.select(F.concat_ws("-", ID, "orden").alias(ID), F.lit("1").alias("lead_id"), F.lit("WhatsApp").alias("canal"), F.lit("2001-07-01 00:00:00").alias("fecha_inicio"),
-             F.array(F.struct("emisor", "hora", "texto")).alias("mensajes")).write.json(path)
+    d = daily(spark, folder)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("orden", "emisor", "hora", "texto"))), lambda m: F.struct(m["emisor"].alias("emisor"), m["hora"].alias("hora"), m["texto"].alias("texto")))
+    objects = d.messages.groupBy(ID).agg(said.alias("mensajes"))  # a source object is one chat
+    d.chats.select(ID, "lead_id", "canal", "fecha_inicio").join(objects, ID).select(*(F.col(c).cast("string").alias(c) for c in (ID, "lead_id", "canal", "fecha_inicio")), "mensajes").write.json(path)
     return readers.flatten_messages(readers.read_chats(spark, path, multi_line=False))
 
 
@@ -103,12 +106,14 @@ def mirror(spark, folder) -> DataFrame:
 
 @reg.query("s7_partition_replace", with_ctes("SELECT fecha_corte, lead_id, CASE WHEN fecha_corte = (SELECT fecha_corte FROM cut) THEN NULL ELSE asesor_id END AS asesor_id FROM two_days WHERE fecha_corte <> (SELECT fecha_corte FROM cut) OR lead_id % 2 = 0"))
 def partition_replace(spark, folder) -> DataFrame:
-    """Two dates are written; the last one is replaced by a smaller distribution."""
+    """Three dates are written; the last one is replaced by a smaller distribution and the first by nothing."""
     d = daily(spark, folder)
     path, rows = tables.new_path(spark, "asignacion"), two_days(d).select("fecha_corte", "lead_id", "asesor_id")
-    tables.replace_partitions(rows, path, "fecha_corte")
+    emptied = d.assignment.select(F.date_sub("fecha_corte", 2).alias("fecha_corte"), "lead_id", "asesor_id")
+    tables.replace_partitions(rows.unionByName(emptied), path, "fecha_corte")
     again = d.assignment.filter("lead_id % 2 = 0").select("fecha_corte", "lead_id", F.lit(None).cast("long").alias("asesor_id"))
-    tables.replace_partitions(again, path, "fecha_corte")
+    first = emptied.agg(F.min("fecha_corte")).first()[0]
+    tables.replace_partitions(again, path, "fecha_corte", [first])
     return spark.read.parquet(path).select(F.col("fecha_corte").cast("date").alias("fecha_corte"), "lead_id", "asesor_id")
 
 
@@ -122,21 +127,26 @@ def score_upsert(spark, folder) -> DataFrame:
     return spark.read.parquet(path).withColumn("fecha_corte", F.col("fecha_corte").cast("date"))
 
 
+SILENT = 9_000_001  # a chat without messages
+
+
 def cache_table(d) -> DataFrame:
-    base = d.extraction.join(extraction.fingerprints(d.messages), ID).select("hash_contenido", *EXT)
+    silent = d.chats.sparkSession.createDataFrame([(SILENT,)], f"{ID} long")
+    chats = d.extraction.unionByName(extraction.rule_extraction(silent, d.messages.limit(0), d.brands))
+    base = chats.join(extraction.content_hashes(chats, d.messages), ID).select("hash_contenido", *EXT)
     mine = base.withColumns({"extractor": F.lit(fixed.RULES_NAME), "prompt_version": F.when(F.col(ID) % 5 == 0, "reglas_v2").otherwise(fixed.RULES_VERSION),
                              "forma_pago": F.when(F.col(ID) % 3 == 0, None).otherwise(F.col("forma_pago")), "cliente_respondio": F.when(F.col(ID) % 4 == 0, None).otherwise(F.col("cliente_respondio"))})
     return mine
 
 
-@reg.query("s9_cache_read", with_ctes("SELECT conversacion_id, CASE WHEN conversacion_id % 3 = 0 THEN 'no_informa' ELSE forma_pago END AS forma_pago, CASE WHEN conversacion_id % 4 = 0 THEN true ELSE cliente_respondio END AS cliente_respondio FROM ext WHERE conversacion_id % 5 <> 0 AND conversacion_id IN (SELECT conversacion_id FROM msg)"))
+@reg.query("s9_cache_read", with_ctes("SELECT conversacion_id, CASE WHEN conversacion_id % 3 = 0 THEN 'no_informa' ELSE forma_pago END AS forma_pago, CASE WHEN conversacion_id % 4 = 0 THEN true ELSE cliente_respondio END AS cliente_respondio FROM ext WHERE conversacion_id % 5 <> 0 UNION ALL SELECT 9000001, 'no_informa', false"))
 def cache_read(spark, folder) -> DataFrame:
     cached = tables.cached_extractions(cache_table(daily(spark, folder)), fixed.RULES_NAME, fixed.RULES_VERSION, fixed.UNKNOWN)
     return cached.select(ID, "forma_pago", "cliente_respondio")
 
 
-@reg.query("s10_cache_write", with_ctes("SELECT conversacion_id, CASE WHEN conversacion_id % 5 = 0 THEN 'reglas_v2' ELSE 'reglas_v3' END AS prompt_version, CASE WHEN conversacion_id % 2 = 1 AND conversacion_id % 5 <> 0 THEN 'alta' ELSE intencion END AS intencion FROM ext WHERE conversacion_id IN (SELECT conversacion_id FROM msg) "
-                                        "UNION ALL SELECT conversacion_id, 'reglas_v3', 'alta' FROM ext WHERE conversacion_id % 10 = 5 AND conversacion_id IN (SELECT conversacion_id FROM msg)"))
+@reg.query("s10_cache_write", with_ctes("SELECT conversacion_id, CASE WHEN conversacion_id % 5 = 0 THEN 'reglas_v2' ELSE 'reglas_v3' END AS prompt_version, CASE WHEN conversacion_id % 2 = 1 AND conversacion_id % 5 <> 0 THEN 'alta' ELSE intencion END AS intencion FROM ext UNION ALL SELECT 9000001, 'reglas_v3', 'alta' "
+                                        "UNION ALL SELECT conversacion_id, 'reglas_v3', 'alta' FROM ext WHERE conversacion_id % 10 = 5"))
 def cache_write(spark, folder) -> DataFrame:
     cache = cache_table(daily(spark, folder))
     fresh = cache.filter(F.col(ID) % 2 == 1).withColumns({"prompt_version": F.lit(fixed.RULES_VERSION), "intencion": F.lit("alta")})

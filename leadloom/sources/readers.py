@@ -21,8 +21,9 @@ def missing_columns(df: DataFrame, required) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """CSV with header; every column is text, blanks are NULL, missing columns fail by name."""
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", multiLine=False, escape='"')
+    """CSV with header; every column is text, blanks are NULL, missing columns fail by name. Quoted
+    fields may hold line breaks, so a file is read by one task."""
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", multiLine=True, escape='"')
     missing = missing_columns(df, fixed.REQUIRED[name])
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
@@ -30,14 +31,13 @@ def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_chats(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Nested JSON chats; an object without one of the required keys fails the read."""
+    """Nested JSON chats; an object without one of the required keys fails the job that reads it."""
     df = spark.read.schema(CHAT_SCHEMA).json(path, multiLine=multi_line)
     lacking = F.lit(False)
     for c in fixed.REQUIRED["conversaciones"]:
         lacking = lacking | F.col(c).isNull()
-    if not df.filter(lacking).isEmpty():
-        raise ValueError("conversaciones: objects without " + ", ".join(fixed.REQUIRED["conversaciones"]))
-    return df
+    fail = F.raise_error(F.lit("conversaciones: objects without " + ", ".join(fixed.REQUIRED["conversaciones"]))).cast("string")
+    return df.withColumn("conversacion_id", F.when(lacking, fail).otherwise(F.col("conversacion_id")))
 
 
 def flatten_messages(chats: DataFrame) -> DataFrame:

@@ -45,9 +45,17 @@ def mirror(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return target.join(source.select(*keys), list(keys), "left_semi").select(*target.columns)
 
 
-def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replaces exactly the partitions present in `df`; the others stay as they are."""
-    (df.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+def replace_partitions(df: DataFrame, path: str, partition: str, replaced: Sequence = ()) -> None:
+    """Replaces the partitions present in `df` and those named in `replaced`; a named one without rows is
+    left empty, all others stay as they are."""
+    spark = df.sparkSession
+    if replaced:
+        there = {str(r[0]) for r in df.filter(F.col(partition).cast("string").isin(*map(str, replaced))).select(partition).distinct().collect()}
+        for value in map(str, replaced):
+            if value not in there:
+                place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    df.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def upsert_partitioned(updates: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:

@@ -177,7 +177,11 @@ def test_amounts(spark):
 
 def test_model_named(spark):
     brands = ["Suzuki", "Bajaj"]
-    assert one(spark, lambda c: chat.model_named(c, brands), ["Suzuki GN 125 y cuánto vale", "la bajaj Pulsar NS 160.", "de Bajaj, mejor Suzuki Best 125", "nada"]) == [
+    said = ["Suzuki GN 125 y cuánto vale", "la bajaj Pulsar NS 160.", "de Bajaj, mejor Suzuki Best 125", "nada"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, texto string")
+    catalogue_ = spark.createDataFrame([(b,) for b in [*brands, "K.T.M (x"]], "marca string")
+    for pattern in (chat.brand_pattern(brands), chat.brand_pattern(catalogue_)):
+        assert [r.m for r in chat.with_model(df, "texto", pattern, "m").orderBy("i").collect()] == [
         "Suzuki GN 125", "bajaj Pulsar NS 160", "Suzuki Best 125", None]
 
 
@@ -185,7 +189,7 @@ def extract(spark, *chats_):
     rows = [(f"C{i}", j + 1, who, t) for i, c in enumerate(chats_) for j, (who, t) in enumerate(c)]
     msgs = spark.createDataFrame(rows, "conversacion_id string, orden int, emisor string, texto string")
     ids = spark.createDataFrame([(f"C{i}",) for i in range(len(chats_))], "conversacion_id string")
-    return [r for r in extraction.rule_extraction(ids, msgs, ["Bajaj", "Suzuki"]).orderBy(F.expr("int(substr(conversacion_id, 2))")).collect()]
+    return [r for r in extraction.rule_extraction(ids, msgs, chat.brand_pattern(["Bajaj", "Suzuki"])).orderBy(F.expr("int(substr(conversacion_id, 2))")).collect()]
 
 
 def test_rules(spark):
@@ -228,7 +232,7 @@ def test_fingerprint_and_cache(spark):
     hashes = extraction.fingerprints(msgs)
     h = {r.conversacion_id: r.hash_contenido for r in hashes.collect()}
     assert h["A"] == h["B"] != h["C"]
-    run = lambda c, m: extraction.rule_extraction(c, m, ["Bajaj"])
+    run = lambda c, m: extraction.rule_extraction(c, m, chat.brand_pattern(["Bajaj"]))
     empty = run(chats_, msgs).join(hashes, "conversacion_id").limit(0)
     result, computed = extraction.extract_with_cache(chats_, msgs, hashes, empty, run)
     assert result.count() == 3 and computed.count() == 2
@@ -328,8 +332,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"conversacion_id": "C", "lead_id": "L", "canal": "W", "fecha_inicio": "x", "mensajes": [{"emisor": "cliente", "hora": "1", "texto": "a"}]}]')
     assert readers.flatten_messages(readers.read_chats(spark, str(tmp_path / "c.json"))).collect()[0].orden == 1
     (tmp_path / "bad.json").write_text('[{"conversacion_id": "C"}]')
-    with pytest.raises(ValueError):
-        readers.read_chats(spark, str(tmp_path / "bad.json"))
+    with pytest.raises(Exception, match="objects without"):
+        readers.read_chats(spark, str(tmp_path / "bad.json")).collect()
 
 
 def test_statistics(spark):
