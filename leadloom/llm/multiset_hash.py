@@ -77,8 +77,8 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     groups = [bounds[i:i + step] for i in range(0, len(bounds), step)]
     below = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
     group = below(F.array(*[F.lit(g[0]) for g in groups]))
-    inner = below(F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), group))
-    return F.coalesce((group - 1) * step + inner - 1, F.lit(len(bounds) - 1))
+    inner = below(F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), F.greatest(group, F.lit(1))))
+    return F.when(doc_id.isNull(), len(bounds) - 1).otherwise((group - 1) * step + inner - 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
