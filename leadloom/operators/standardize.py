@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed
@@ -59,17 +59,28 @@ def _date_problem(field: str, prefix: str) -> list:
     ]
 
 
-def standardize_leads(raw: DataFrame, window: tuple[str, str] = fixed.WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(clean leads, quality log). Repeated, test and channel-less rows leave; each one is logged."""
+def measure_all(raw: DataFrame, window: tuple[str, str] = fixed.WINDOW, key: str = "lead_id", ordinal: str = "orden_archivo") -> DataFrame:
+    """`measure` for every raw row, with `repetida` for the later rows of a key. The join hashes (key,
+    ordinal), so a key that repeats a million times is spread over all tasks."""
+    first = raw.groupBy(key).agg(F.min(ordinal).alias(ordinal)).withColumn("_primera", F.lit(True))
+    marked = raw.join(first, [key, ordinal], "left").withColumn("repetida", F.col("_primera").isNull()).drop("_primera")
+    return measure(marked, window)
+
+
+def _kept() -> Column:
+    return ~F.col("repetida") & ~F.col("es_prueba") & F.col("canal_n").isNotNull()
+
+
+def lead_log(measured: DataFrame) -> DataFrame:
+    """Quality log of measured rows: repeated, test and channel-less rows leave, and every change is logged."""
     c = F.col
-    first, repeated = split_repeated(raw)
-    df = measure(first, window)
     estado = F.coalesce(c("estado_n"), F.lit(fixed.UNMANAGED))
-    kept = ~c("es_prueba") & c("canal_n").isNotNull()
+    kept, first = _kept(), ~c("repetida")
 
     problems = [
-        problem(c("es_prueba"), "nombre_cliente", "registro_prueba", c("nombre_original"), "excluido"),
-        problem(~c("es_prueba") & c("canal_n").isNull(), "canal", "canal_invalido", c("canal"), "excluido: el canal es obligatorio"),
+        problem(c("repetida"), "lead_id", "lead_repetido", c("lead_id"), "se conserva la primera fila"),
+        problem(first & c("es_prueba"), "nombre_cliente", "registro_prueba", c("nombre_original"), "excluido"),
+        problem(first & ~c("es_prueba") & c("canal_n").isNull(), "canal", "canal_invalido", c("canal"), "excluido: el canal es obligatorio"),
         problem(kept & ~c("canal_n").eqNullSafe(c("canal")), "canal", "canal_no_estandar", c("canal"),
                 F.concat(F.lit("normalizado a "), c("canal_n"))),
         problem(kept & c("estado_n").isNull(), "estado_gestion", "estado_desconocido", c("estado_gestion"), "se asume Sin gestión"),
@@ -93,12 +104,14 @@ def standardize_leads(raw: DataFrame, window: tuple[str, str] = fixed.WINDOW) ->
         problem(kept & (estado == fixed.UNMANAGED) & c("con_at").isNotNull(), "fecha_primer_contacto",
                 "sin_gestion_con_contacto", c("fecha_primer_contacto"), "bandera"),
     ]
-    again = [problem(F.lit(True), "lead_id", "lead_repetido", c("lead_id"), "se conserva la primera fila")]
-    log = union_logs(
-        log_of(repeated, LEADS_FILE, c("lead_id"), c("empresa_id"), again),
-        log_of(df, LEADS_FILE, c("lead_id"), c("empresa_id"), problems),
-    )
-    leads = df.filter(kept).select(
+    return log_of(measured, LEADS_FILE, c("lead_id"), c("empresa_id"), problems)
+
+
+def clean_leads(measured: DataFrame) -> DataFrame:
+    """Typed leads of measured rows; no shuffle and nothing computed again."""
+    c = F.col
+    estado = F.coalesce(c("estado_n"), F.lit(fixed.UNMANAGED))
+    return measured.filter(_kept()).select(
         "lead_id", "empresa_id", "punto_venta_id", c("canal_n").alias("canal"),
         F.when(~text.is_blank(c("campania")), text.strip(c("campania"))).alias("campania"),
         c("reg_at").alias("fecha_registro"),
@@ -109,7 +122,12 @@ def standardize_leads(raw: DataFrame, window: tuple[str, str] = fixed.WINDOW) ->
         c("email_n").alias("email"), c("ciudad_n").alias("ciudad"),
         F.when(~text.is_blank(c("modelo_interes_texto")), text.strip(c("modelo_interes_texto"))).alias("modelo_texto_original"),
     )
-    return leads, log
+
+
+def standardize_leads(raw: DataFrame, window: tuple[str, str] = fixed.WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(clean leads, quality log) of raw rows."""
+    measured = measure_all(raw, window)
+    return clean_leads(measured), lead_log(measured)
 
 
 def with_start(chats: DataFrame, window: tuple[str, str] = fixed.WINDOW) -> DataFrame:

@@ -35,6 +35,12 @@ def stage(builder: Callable[[Daily], DataFrame]) -> property:
     return prop
 
 
+def view(builder: Callable[[Daily], DataFrame]) -> property:
+    """A property over written stages that is only a projection or filter of them: never written."""
+    BUILDERS[builder.__name__] = builder
+    return property(builder, doc=builder.__doc__)
+
+
 BUILDERS: dict[str, Callable[[Daily], DataFrame]] = {}
 
 
@@ -52,16 +58,21 @@ class Daily:
         return BUILDERS[name](self)
 
     @stage
+    def measured(self) -> DataFrame:
+        """Raw leads with every normalised value and the repeat mark; leads, log and profiles are projections."""
+        return standardize.measure_all(self.inputs.leads(), self.window)
+
+    @view
     def raw_leads(self) -> DataFrame:
-        return self.inputs.leads()
+        return self.measured.select(*fixed.REQUIRED["leads"], "orden_archivo")
 
-    @stage
+    @view
     def clean_leads(self) -> DataFrame:
-        return standardize.standardize_leads(self.raw_leads, self.window)[0]
+        return standardize.clean_leads(self.measured)
 
-    @stage
+    @view
     def lead_log(self) -> DataFrame:
-        return standardize.standardize_leads(self.raw_leads, self.window)[1]
+        return standardize.lead_log(self.measured)
 
     @cached_property
     def raw_catalogue(self) -> DataFrame:

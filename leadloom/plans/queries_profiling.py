@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from leadloom import fixed
 from leadloom.functions import text
 from leadloom.operators import profiling as pf
-from leadloom.operators import standardize
 from leadloom.operators import evaluation as ev
 from leadloom.plans.driver_tables import SPLIT_DATE
 from leadloom.plans.oracle_base import CTES, date_class, key, with_ctes
@@ -21,16 +20,13 @@ RAW = fixed.REQUIRED["leads"]
 
 
 def measured(d) -> DataFrame:
-    """Raw rows with normalised values, the repeat mark and the model rule."""
-    first, again = standardize.split_repeated(d.raw_leads)
-    rows = first.withColumn("repetida", F.lit(False)).unionByName(again.withColumn("repetida", F.lit(True)))
-    rules = d.matched.select("lead_id", "regla", "sku_interes", "modelo_disponible_pv")
-    return standardize.measure(rows, d.window).join(rules, "lead_id", "left")
+    """Measured rows with the model rule."""
+    return d.measured.join(d.matched.select("lead_id", "regla", "sku_interes", "modelo_disponible_pv"), "lead_id", "left")
 
 
 @reg.query("p0_measured_rows", with_ctes("SELECT lead_id, orden_archivo, copia > 1 AS repetida, es_prueba, reg_at, reg_reason, con_reason, por_dia, antes AS contacto_antes FROM tested"))
 def measured_rows(spark, folder) -> DataFrame:
-    return measured(daily(spark, folder)).select("lead_id", "orden_archivo", "repetida", "es_prueba", "reg_at", "reg_reason", "con_reason", "por_dia", "contacto_antes")
+    return daily(spark, folder).build("measured").select("lead_id", "orden_archivo", "repetida", "es_prueba", "reg_at", "reg_reason", "con_reason", "por_dia", "contacto_antes")
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS columna, CAST({c} AS VARCHAR) AS valor FROM raw" for c in RAW)
