@@ -14,6 +14,7 @@ from leadloom import fixed
 from leadloom.functions.stats import ratio, wilson
 from leadloom.functions.text import client_template_key, match_key
 from leadloom.operators.ranking import id_levels, with_rank
+from leadloom.sources.tables import materialize
 from leadloom.operators.scoring import hours_points, temperature
 
 SIGNAL_COLUMNS = {"cita": "pidio_cita", "cuota": "manifesto_cuota_inicial", "contado": "forma_pago_declarada"}
@@ -84,15 +85,18 @@ def bootstrap_ratio(df: DataFrame, replicates: int = fixed.BOOTSTRAP, seed: int
 def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half, per group.
 
-    Rows collapse to counts per score value; cumulative counts run over blocks of score values and
-    then inside each block, so no step sorts all values of a group together.
+    Rows collapse to counts per score value; cumulative counts run over whole points of score, over
+    blocks inside a point, and over values inside a block, so no step holds all values of a group.
     """
     group = group or []
     block = F.floor(F.col(score).cast("double") * 4096).cast("long")
     values = df.groupBy(*group, F.col(score).alias("v"), block.alias("b")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    before = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = values.groupBy(*group, "b").agg(F.sum("neg").alias("n")).withColumn("antes", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    point = F.shiftright("b", 12)
+    earlier = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = values.groupBy(*group, point.alias("p"), "b").agg(F.sum("neg").alias("n"))
+    points_ = blocks.groupBy(*group, "p").agg(F.sum("n").alias("n")).select(*group, "p", earlier("p", *group).alias("antes_p"))
+    blocks = blocks.withColumn("antes_b", earlier("b", *group, "p")).join(points_, [*group, "p"]).withColumn("antes", F.col("antes_p") + F.col("antes_b"))
     inside = Window.partitionBy(*group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = values.join(blocks.select(*group, "b", "antes"), [*group, "b"]).withColumn("menores", F.col("antes") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("menores") + F.col("neg") / F.lit(2.0)))
@@ -101,7 +105,8 @@ def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -
 
 def _fit(df: DataFrame, features: list[str], label: str = "cerrado"):
     """Logistic regression with unit inverse penalty. Rows with the same features and label collapse
-    into one weighted row first: the loss is the same and the fit no longer grows with the history."""
+    into one weighted row first, which leaves the loss the same; with a continuous feature (the price)
+    few rows collapse and the fit is distributed over all of them."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -136,6 +141,9 @@ def attribute_regression(df: DataFrame, folds: int = 5) -> DataFrame:
         "x_cita": F.col("pidio_cita").cast("double"), "x_precio": F.col("precio_lista") / F.lit(1_000_000.0)})
     features = [c for c in base.columns if c.startswith("x_")]
     ranked = with_rank(base, ["cerrado"], [("lead_id", True)], id_levels(base, "lead_id"), "r").withColumn("pliegue", F.col("r") % folds)
+    # Five fits and predictions read the folds, which are written once.
+    ranked = materialize(ranked.select(*features, "cerrado", "prueba", "pliegue"), "folds")
+    base = ranked
     held = None
     for k in range(folds):
         part = _predict(ranked.filter(F.col("pliegue") == k), _fit(ranked.filter(F.col("pliegue") != k), features)).select("proba", "cerrado")

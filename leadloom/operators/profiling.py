@@ -271,8 +271,8 @@ def _any_phrase(c: Column, phrases: Sequence[str]) -> Column:
 def models_mentioned(messages: DataFrame, catalogue: DataFrame, key: str = "conversacion_id") -> DataFrame:
     """Catalogue models named in each chat with the place where they first appear.
 
-    A name occurs only where its first three letters occur, so texts and names meet through an
-    equi-join on three-letter pieces; each piece of a text goes out once.
+    A name occurs only where its first three letters occur. Only ids and pieces of the texts go out, each
+    piece once; those that begin a name bring the text back, which is searched for the name.
     """
     full = catalogue.select("sku", text.match_key(F.concat_ws(" ", "marca", "linea")).alias("nombre"), F.lit(0).alias("p"))
     line = catalogue.select("sku", text.match_key(F.col("linea")).alias("nombre"), F.lit(1).alias("p"))
@@ -280,14 +280,19 @@ def models_mentioned(messages: DataFrame, catalogue: DataFrame, key: str = "conv
     names = full.unionByName(line).groupBy("nombre").agg(F.min(F.struct("p", "sku")).alias("o")).select(
         "nombre", "o.sku", F.substring("nombre", 1, 3).alias("pieza"))
     folded = messages.filter(F.col("emisor") == "cliente").select(key, "orden", text.match_key(F.col("texto")).alias("t")).filter(F.col("t").isNotNull())
-    cuts = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.col("t").substr(i, F.lit(3)))
-    short = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.col("t").substr(i, F.lit(1)))
-    two = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.col("t").substr(i, F.lit(2)))
-    pieces = folded.select(key, "orden", "t", F.explode(F.array_distinct(F.concat(cuts, two, short))).alias("pieza"))
-    found = pieces.join(names, "pieza").withColumn("lugar", F.instr("t", F.col("nombre"))).filter(F.col("lugar") > 0)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.col("t").substr(i, F.lit(n)))
+    pieces = folded.select(key, "orden", F.explode(F.array_distinct(F.concat(cut(3), cut(2), cut(1)))).alias("pieza"))
+    started = pieces.join(names, "pieza").select(key, "orden", "nombre", "sku")
+    found = started.join(folded, [key, "orden"]).withColumn("lugar", F.instr("t", F.col("nombre"))).filter(F.col("lugar") > 0)
     return found.groupBy(key, "sku").agg(F.min(F.struct("orden", "lugar")).alias("a")).select(key, "sku", F.col("a.orden").alias("orden"), F.col("a.lugar").alias("lugar"))
 
 
+def model_counts(mentioned: DataFrame, chats: DataFrame, key: str = "conversacion_id") -> DataFrame:
+    """Chats, those that name a model and those that name several."""
+    per = chats.select(key).distinct().join(mentioned.groupBy(key).agg(F.count_distinct("sku").alias("n")), key, "left")
+    return per.agg(F.count(F.lit(1)).alias("conversaciones"), F.count_if(F.col("n") > 0).alias("con_modelo"), F.count_if(F.col("n") > 1).alias("cambios_modelo"))
+
+
 def claim_check(metrics: DataFrame, claims: DataFrame) -> DataFrame:
     """Claimed against computed figures: equal at the claimed number of decimals, different, or only
     informative when nothing is claimed."""

@@ -215,15 +215,27 @@ def chat_tags(spark, folder) -> DataFrame:
     return rounded(pf.lexicon_tags(d.chats, mine, ID, "texto"), "proporcion")
 
 
-@reg.query("x18_models_mentioned", with_ctes(
-    "SELECT conversacion_id, sku, min(orden) AS orden, arg_min(lugar, orden) AS lugar FROM (SELECT m.conversacion_id, n.sku, m.orden, min(instr(m.t, n.nombre)) AS lugar FROM (SELECT *, " + key("texto") + " AS t FROM msg WHERE emisor = 'cliente') AS m CROSS JOIN names AS n WHERE instr(m.t, n.nombre) > 0 GROUP BY 1, 2, 3) AS q GROUP BY 1, 2", {
-        "names": ("SELECT nombre, arg_min(sku, (p, sku)) AS sku FROM (SELECT sku, lower(marca || ' ' || linea) AS nombre, 0 AS p FROM cat UNION ALL SELECT sku, lower(linea), 1 FROM cat) AS u GROUP BY nombre", ("cat",)),
-    }))
+_MENTIONED = (
+    "SELECT conversacion_id, sku, min(orden) AS orden, arg_min(lugar, orden) AS lugar FROM (SELECT m.conversacion_id, n.sku, m.orden, min(instr(m.t, n.nombre)) AS lugar FROM (SELECT *, " + key("texto") + " AS t FROM msg WHERE emisor = 'cliente') AS m CROSS JOIN names AS n WHERE instr(m.t, n.nombre) > 0 GROUP BY 1, 2, 3) AS q GROUP BY 1, 2")
+_NAMED = {
+    "names": ("SELECT nombre, arg_min(sku, (p, sku)) AS sku FROM (SELECT sku, lower(marca || ' ' || linea) AS nombre, 0 AS p FROM cat UNION ALL SELECT sku, lower(linea), 1 FROM cat) AS u GROUP BY nombre", ("cat",)),
+}
+
+
+@reg.query("x18_models_mentioned", with_ctes(_MENTIONED, _NAMED))
 def models_mentioned(spark, folder) -> DataFrame:
     d = daily(spark, folder)
     return pf.models_mentioned(d.messages, d.catalogue)
 
 
+@reg.query("x18_model_counts", with_ctes(
+    "SELECT count(*) AS conversaciones, count(*) FILTER (n > 0) AS con_modelo, count(*) FILTER (n > 1) AS cambios_modelo FROM chats_raw LEFT JOIN "
+    "(SELECT conversacion_id, count(DISTINCT sku) AS n FROM mentioned GROUP BY 1) AS q USING (conversacion_id)", {**_NAMED, "mentioned": (_MENTIONED, ("names", "msg", "chats_raw"))}))
+def model_counts(spark, folder) -> DataFrame:
+    d = daily(spark, folder)
+    return pf.model_counts(pf.models_mentioned(d.messages, d.catalogue), d.chats)
+
+
 _METRICS = "SELECT 'leads' AS metrica, count(*)::DOUBLE AS valor FROM std UNION ALL SELECT 'tasa_cierre', avg(cerrado) FROM prep UNION ALL SELECT 'razon_prueba', avg(cerrado) FILTER (temperatura = 'Caliente') / avg(cerrado) FILTER (temperatura = 'Frío') FROM prep WHERE prueba UNION ALL SELECT 'conversaciones', count(*)::DOUBLE FROM chats_raw UNION ALL SELECT 'historico', count(*)::DOUBLE FROM his"
 CLAIMS = [("leads", 14000.0, 0), ("tasa_cierre", 0.3, 1), ("razon_prueba", 1.0, 1), ("conversaciones", None, 0), ("historico", 15000.0, 0)]
 _claims = ", ".join(f"('{m}', {c if c is not None else 'NULL'}::DOUBLE, {n})" for m, c, n in CLAIMS)
