@@ -1,11 +1,12 @@
-"""Similarity join on word shingles with an R-tree over group counts.
+"""Similarity join on word shingles with R-trees over group counts.
 
 A document's shingles are hashed into groups; the counts of the groups are a point. The sum of the
 coordinates' minima of two points bounds the shingles that two documents can share, and the maxima of
-a tree node bound all points below it. An R-tree over all documents would still compare unrelated
-documents of one size with each other, as their counts hardly differ; so a tree is built for documents
-that share one of their rarest shingles, of which two similar documents share at least one. Pairs that
-the tree does not rule out are verified by their shingles.
+a tree node bound all points below it. Points have as many groups as their document needs, a power of
+two, and a finer point folds into a coarser one. An R-tree over all documents would still compare
+unrelated documents of one size with each other, as their counts hardly differ; so a tree is built for
+documents that share one of their rarest shingles, of which two similar documents share at least one.
+Pairs that the trees do not rule out are verified by their shingles.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from leadloom.llm.components import components
 from leadloom.llm.hashing import Sequences, mixed, word_hashes
 from leadloom.sources.tables import materialize
 
-WORDS, GROUPS = 5, 64
+#: Words of a shingle; shingles in a group on average, at most; groups of a point, at least.
+WORDS, FILL, LEAST_GROUPS = 5, 4, 16
 #: Frequent shingles that are put last in the order of rarity; a shingle missing here costs time, not links.
 FREQUENT = 50_000
 #: A task reports shingles that so many documents of one step have.
 REPORTED = 4
-#: Points of a tree node, and the rows of a bucket that one task compares with each other.
-FAN, BLOCK = 16, 20_000
+#: Points of a tree node; rows of a bucket that one task compares with each other; parts of a document's pairs.
+FAN, BLOCK, PARTS = 16, 20_000, 16
 
 
 def shingle_sets(values: list[bytes]) -> list[np.ndarray]:
@@ -55,12 +57,30 @@ def set_hash(own: np.ndarray) -> tuple[int, int]:
 
 
 def points(own: np.ndarray) -> np.ndarray:
-    """How many shingles are in each group."""
-    return np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    """How many shingles are in each group, as bytes."""
+    groups = LEAST_GROUPS
+    while groups * FILL < len(own):
+        groups *= 2
+    while True:
+        counts = np.bincount(((own >> np.uint64(32)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if not len(own) or counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point of more groups as one of fewer."""
+    return point.reshape(-1, groups).sum(0, dtype=np.int32) if len(point) > groups else point
+
+
+def shared_at_most(p: np.ndarray, q: np.ndarray) -> int:
+    groups = min(len(p), len(q))
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum(dtype=np.int64))
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, hi, lo for every document; and, with n null, frequent shingles lo of a step with their count hi."""
+    """doc_id, n, hi, lo, point for every document; and, with n null, frequent shingles lo of a step with
+    their count hi."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,9 +94,10 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     pa.array(step.column("doc_id").to_pylist() + [None] * k, pa.int64()),
                     pa.array([len(s) for s in sets] + [None] * k, pa.int64()),
                     pa.array(np.concatenate([np.array([h for h, _ in both], np.int64), times[often].astype(np.int64)])),
-                    pa.array(np.concatenate([np.array([lo for _, lo in both], np.int64), found[often].view(np.int64)]))], ["doc_id", "n", "hi", "lo"])
+                    pa.array(np.concatenate([np.array([lo for _, lo in both], np.int64), found[often].view(np.int64)])),
+                    pa.array([points(s).tobytes() for s in sets] + [None] * k, pa.binary())], ["doc_id", "n", "hi", "lo", "point"])
 
-    return docs.mapInArrow(profiled, "doc_id long, n long, hi long, lo long")
+    return docs.mapInArrow(profiled, "doc_id long, n long, hi long, lo long, point binary")
 
 
 def _prefixes(docs: DataFrame, frequent) -> DataFrame:
@@ -116,8 +137,8 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted keys those of two or more sets: key, node (a document of each set) and hub (the first node)."""
-    state = None  # key, tag and hub of the last row, and whether the hub is out already
+    """Of sorted keys those of two or more sets: key and node, a document of each set."""
+    state = None  # key and tag of the last row, the key's first node, and whether that is out already
     for batch in batches:
         key, tag, doc = (batch.column(c).to_numpy() for c in ("key", "tag", "doc_id"))
         if not len(key):
@@ -129,7 +150,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_tag = tag[-1]
         key, doc, new_key = key[chosen], doc[chosen], new_key[chosen]
         group = np.cumsum(new_key) - 1
-        counts, hubs = np.bincount(group), doc[new_key]
+        counts, firsts = np.bincount(group), doc[new_key]
         wanted = counts[group] >= 2
         out = bool(counts[-1] >= 2)
         if state:
@@ -137,49 +158,52 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wanted[0] = False
                 out = out or counts.size == 1
         if wanted.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[wanted]), pa.array(hubs[group][wanted]), pa.array(doc[wanted])], ["key", "hub", "node"])
-        state = (key[-1], last_tag, hubs[-1], out)
+            yield pa.RecordBatch.from_arrays([pa.array(key[wanted]), pa.array(doc[wanted])], ["key", "node"])
+        state = (key[-1], last_tag, firsts[-1], out)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, n, point, shingles of the nodes."""
+    """doc_id and shingles of the nodes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, "text"):
                 sets = shingle_sets(step.column("text").cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    step.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([points(s).tolist() for s in sets], pa.list_(pa.int32())),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(made, "doc_id long, n long, point array<int>, shingles binary")
+    return docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(made, "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b that link. First the bound of the two points, then the shingles themselves."""
-    side = lambda c, *more: sets.select(F.col("doc_id").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
-    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0).cast("int"), lambda t, x: t + x)
-    near = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").filter(9 * bound >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    """Pairs a, b that link by their shingles. The shingles of b travel with each pair, those of a go once
+    to each part of a's pairs; a document of many pairs is dealt to several tasks."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
+    others = pairs.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", part("b"), "b", "shingles")
+    own = pairs.select("a", part("b")).distinct().join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, mine = None, None
         for batch in batches:
-            keep = []
-            one, two = batch.column("shingles_a"), batch.column("shingles_b")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_py(), np.uint64) for c in (one, two))
-                joint = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(9 * int((joint[1:] == joint[:-1]).sum()) >= 4 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found, shingles = [], batch.column("shingles")
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                other = np.frombuffer(shingles[i].as_py(), np.uint64)
+                if b is None:
+                    first, mine = a, other
+                elif first == a:
+                    joint = np.sort(np.concatenate([mine, other]), kind="stable")
+                    if 9 * int((joint[1:] == joint[:-1]).sum()) >= 4 * (len(mine) + len(other)):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return materialize(near, "near-pairs").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(counted, "a long, b long")
+    return own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(counted, "a long, b long")
 
 
 class CountTree:
-    """An R-tree over count vectors, packed level by level from points sorted by size and counts."""
+    """An R-tree over count vectors of one length, packed level by level from points sorted by size and counts."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray) -> None:
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // max(1, int(len(sizes) ** 0.5))
-        widest = np.argsort(-counts.var(0))[:3] if len(sizes) > FAN else np.zeros(1, np.int64)
+        widest = np.argsort(-counts.var(0))[:3]
         self.order = np.lexsort((*[counts[:, g] for g in widest[::-1]], slab))
         self.levels = [(counts[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > FAN:
@@ -192,59 +216,99 @@ class CountTree:
         nodes = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[k]
-            nodes = nodes[9 * np.minimum(top[nodes], point).sum(1) >= 4 * (least[nodes] + size)]
+            nodes = nodes[9 * np.minimum(top[nodes], point).sum(1, dtype=np.int64) >= 4 * (least[nodes] + size)]
             if k:
                 nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[k - 1][0])]
         return self.order[nodes]
 
 
-def tree_pairs(ids: np.ndarray, kinds: np.ndarray, counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, leaders: bool) -> list[tuple[int, int]]:
-    """Pairs of a left and a right row that are of different components and may link. With `leaders` a row
-    is paired only with rows that were near no row before them."""
-    tree = CountTree(counts[right], sizes[right])
-    leading = np.ones(len(ids), bool)
+def tree_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, kinds: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Rows (i, j), one left and one right, that the bounds do not rule out. With `kinds` all those of
+    different kinds. Without, enough to connect what links may connect at first: a row is paired with the
+    leaders near it; one that has none becomes a leader, and is paired with one row near it if there is one."""
+    groups = np.array([len(c) for c in counts])
+    trees = {}
+    for g in np.unique(groups).tolist():
+        # Two documents that link differ in size by a quarter at most, so in groups by a factor of two.
+        rows = np.flatnonzero(right & ((groups == g) | (groups == 2 * g)))
+        trees[g] = (rows, CountTree(np.stack([folded(counts[r], g) for r in rows]), sizes[rows]) if len(rows) else None)
+        rows = np.flatnonzero(right & (groups == g // 2))
+        trees[g, "coarse"] = (rows, CountTree(np.stack([counts[r] for r in rows]), sizes[rows]) if len(rows) else None)
+    leading = np.zeros(len(sizes), bool)
     out = []
     for i in np.flatnonzero(left).tolist():
-        near = np.flatnonzero(right)[tree.near(counts[i], int(sizes[i]))]
-        near = near[(near < i) | ~left[near]]  # within one block each pair once
-        if leaders:
-            near = near[leading[near]]
-            leading[i] = not len(near)
-        near = near[kinds[near] != kinds[i]]
-        out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in near.tolist()]
+        g, near = int(groups[i]), [np.zeros(0, np.int64)]
+        for rows, tree in (trees[g], trees[g, "coarse"]):
+            if tree is not None:
+                near.append(rows[tree.near(folded(counts[i], len(tree.levels[0][0][0])), int(sizes[i]))])
+        near = np.concatenate(near)
+        near = near[(near < i) | ~left[near]]  # within one part each pair once
+        if kinds is not None:
+            near = near[kinds[near] != kinds[i]]
+        else:
+            led = near[leading[near] | ~left[near]]
+            leading[i] = not len(led)
+            near = led if len(led) else near[:1]
+        out += [(i, j) for j in near.tolist()]
     return out
 
 
-def _tree_join(members: DataFrame, leaders: bool) -> DataFrame:
-    """Pairs a, b from rows of key, part_lo, part_hi, part, node, component, n, point."""
+def small_pairs(counts: list[np.ndarray], sizes: list[int]) -> list[tuple[int, int]]:
+    """All rows (i, j) of a few that the bounds do not rule out: a tree of one leaf."""
+    out = []
+    for i in range(1, len(sizes)):
+        for j in range(i):
+            need = 4 * (sizes[i] + sizes[j])
+            if 9 * min(sizes[i], sizes[j]) >= need and 9 * shared_at_most(counts[i], counts[j]) >= need:
+                out.append((i, j))
+    return out
+
+
+def _tree_join(members: DataFrame, first: bool) -> DataFrame:
+    """Pairs a < b from rows of key, part_lo, part_hi, part, node, n, point and, after the first round, component."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
 
-        def made() -> Iterator[pa.RecordBatch]:
-            part = np.array([r[5] for r in rows])
-            counts = np.array([r[4] for r in rows], np.int32)
-            pairs = tree_pairs(np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), counts, np.array([r[3] for r in rows], np.int64),
-                               part == current[1], part == current[2], leaders)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+        def made() -> list[tuple[int, int]]:
+            counts, sizes = [np.frombuffer(r[3], np.uint8) for r in rows], [r[1] for r in rows]
+            if first and len(rows) <= FAN and current[1] == current[2]:
+                pairs = small_pairs(counts, sizes)
+            else:
+                part = np.array([r[4] for r in rows])
+                pairs = tree_pairs(counts, np.array(sizes, np.int64), part == current[1], part == current[2], None if first else np.array([r[2] for r in rows], np.int64))
+            return [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in pairs]
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "part_lo", "part_hi", "node", "component", "n", "point", "part")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "part_lo", "part_hi", "node", "n", "component", "point", "part")]
+            found: list[tuple[int, int]] = []
             for key, lo, hi, *row in zip(*columns, strict=True):
                 if current != (key, lo, hi):
                     if rows:
-                        yield from made()
+                        found += made()
                     current, rows = (key, lo, hi), []
-                rows.append((key, *row))
-        if rows:
-            yield from made()
+                rows.append(row)
+            if found:
+                found = list(set(found))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        if rows and (found := made()):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     cells = ["key", "part_lo", "part_hi"]
     return members.repartition(*cells).sortWithinPartitions(*cells, "n", "node").mapInArrow(joined, "a long, b long").distinct()
 
 
+def _parted(rows: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Rows of the chosen buckets (key, rows) with their points. A bucket of more than BLOCK rows is cut
+    into parts, and each pair of parts is a task's work."""
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+    cut = rows.join(chosen.select("key", parts.alias("parts")), "key").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    points_ = profiles.filter("n > 0").select(F.col("doc_id").alias("node"), "n", "point").dropDuplicates(["node"])
+    return cut.select("key", F.least("part", "other").alias("part_lo"), F.greatest("part", "other").alias("part_hi"), "part", "node", "component").join(points_, "node")
+
+
 def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Links a, b between documents of different sets, enough of them to connect all that links connect."""
     spark = docs.sparkSession
@@ -254,31 +318,22 @@ def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast((hashes[order], ranks[order]))  # at most FREQUENT pairs of numbers
     keyed = _prefixes(docs, frequent).repartition("key").sortWithinPartitions("key", "tag", "doc_id")
-    buckets = materialize(keyed.mapInArrow(_buckets, "key long, hub long, node long"), "buckets")
-    # First each bucket's hub with its other nodes; most copies are connected by that.
-    pairs = materialize(buckets.filter("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "hub-pairs")
-    nodes = buckets.select(F.col("node").alias("doc_id")).distinct()
+    buckets = materialize(keyed.mapInArrow(_buckets, "key long, node long"), "buckets")
+    # Buckets of the same nodes are compared once.
+    alike = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
+    once = materialize(alike.groupBy("rows", "s", "t").agg(F.min("key").alias("key")).select("key", "rows"), "distinct-buckets")
+    rows = buckets.withColumn("component", F.lit(None).cast("long"))
+    pairs = materialize(_tree_join(_parted(rows, once, profiles), True), "first-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()  # every node that is near another
     sets = materialize(_sets(docs, nodes), "sets")
-    links = materialize(_verified(pairs, sets), "hub-links")
-    for leaders in (True, False):
-        # Then, in buckets whose nodes are not all connected, what the trees do not rule out.
-        found = components(links)
-        placed = buckets.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = materialize(placed, "placed")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"),
-                                          F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")).filter("x <> y")
-        # Buckets of the same nodes are compared once.
-        once = open_.groupBy("rows", "s", "t").agg(F.min("key").alias("key"))
-        parts = F.ceil(F.col("rows") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
-        members = (
-            placed.join(once.select("key", parts.alias("parts")), "key").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("key", F.least("part", "other").alias("part_lo"), F.greatest("part", "other").alias("part_hi"), "part", "node", "component")
-            .join(sets.select(F.col("doc_id").alias("node"), "n", "point"), "node"))
-        candidates = materialize(_tree_join(members, leaders).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
-        pairs = pairs.unionByName(candidates)
-        links = materialize(links.unionByName(_verified(candidates, sets)), "tree-links")
-    return links
+    links = materialize(_verified(pairs, sets), "first-links")
+    # Buckets too large to be compared in full at first, if links do not connect all their nodes.
+    large = buckets.join(once.filter(F.col("rows") > FAN), "key").select("key", "rows", "node").join(nodes, F.col("node") == nodes["doc_id"], "left_semi")
+    placed = large.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.select("key", "rows", "node", "component"), "large-buckets")
+    open_ = placed.groupBy("key", "rows").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "rows")
+    more = materialize(_tree_join(_parted(placed.drop("rows"), open_, profiles), False).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    return links.unionByName(_verified(more, sets))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
