@@ -416,3 +416,61 @@ def test_daily_plan(spark, materialized):
     assert kinds["modelo_ambiguo"] == kinds["contacto_antes_de_registro"] == kinds["cuota_mayor_que_precio"] == 1
     rows = {r.lead_id: r for r in d.assignment.collect()}
     assert set(rows) == {"L1", "L3"} and rows["L1"].estado == "asignado" and rows["L3"].estado == "sin_cupo"
+
+
+def test_name_groups_of_any_size_follow_one_rule(spark):
+    """64 and 65 names around the same two strangers have the same lowest similarity, that of the strangers."""
+    strangers, lowest = ["kkkkkk kkkkkk", "qqqqqq wwwwww"], []
+    for n in (62, 63, 200):
+        near = [f"kkkkkk qqqqqq {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        rows = [(f"N{i}", "A", "W", "Contactado", name, "7", None, None, None) for i, name in enumerate([*near, *strangers])]
+        lowest.append(entities.name_similarity(people(spark, rows)).collect()[0].similitud)
+    assert lowest[0] == lowest[1] == lowest[2] < fixed.NAME_COLLISION
+
+
+def test_partial_ratio_of_equal_lengths_looks_both_ways(spark):
+    df = spark.createDataFrame([("abcz", "axbc"), ("axbc", "abcz")], "a string, b string")
+    assert [round(r.s, 2) for r in df.select(similarity.partial_ratio(F.col("a"), F.col("b")).alias("s")).collect()] == [85.71, 85.71]
+
+
+def test_ranks_of_text_ids_with_one_beginning(spark):
+    ids = [f"LEAD-{i:06d}" for i in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(4)
+    got = {r.id: r.r for r in with_rank(df, [], [("id", True)], id_levels(df, "id"), "r").collect()}
+    assert got == {x: k + 1 for k, x in enumerate(ids)}
+
+
+def test_chats_without_messages_and_repeated_primary_rows(spark):
+    chats_ = spark.createDataFrame([("A",), ("B",)], "conversacion_id string")
+    msgs = spark.createDataFrame([("A", 1, "cliente", "10:00", "hola")], "conversacion_id string, orden int, emisor string, hora string, texto string")
+    run = lambda c, m: extraction.rule_extraction(c, m, chat.brand_pattern(["Bajaj"]))
+    hashes = extraction.fingerprints(msgs)
+    result, computed = extraction.extract_with_cache(chats_, msgs, hashes, run(chats_, msgs).join(hashes, "conversacion_id").limit(0), run)
+    assert {r.conversacion_id for r in result.collect()} == {"A", "B"} and computed.count() == 2
+    said = F.explode(F.array(*(F.struct(F.lit(i).alias("intencion"), F.lit(k).alias("k")) for k, i in enumerate(("media", "alta", "?")))))
+    primary = run(chats_, msgs).filter("conversacion_id = 'A'").drop("intencion").withColumn("s", said).select("*", "s.*").drop("s")
+    out = extraction.with_fallback(chats_, msgs, primary, run, "k").collect()
+    assert sorted((r.conversacion_id, r.extractor, r.intencion) for r in out) == [("A", fixed.PRIMARY_NAME, "alta"), ("B", fixed.RULES_NAME, "baja")]
+
+
+def test_a_replaced_date_without_rows_is_emptied(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    tables.replace_partitions(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "d string, v int"), path, "d")
+    tables.replace_partitions(spark.createDataFrame([("b", 9)], "d string, v int"), path, "d", ["a", "b"])
+    assert sorted((r.d, r.v) for r in spark.read.parquet(path).collect()) == [("b", 9), ("c", 3)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    names = fixed.REQUIRED["leads"]
+    (tmp_path / "leads.csv").write_text(",".join(names) + "\n" + ",".join('"two\nlines"' if n == "nombre_cliente" else "1" for n in names) + "\n", encoding="utf-8")
+    assert [r.nombre_cliente for r in readers.read_csv(spark, str(tmp_path / "leads.csv"), "leads").collect()] == ["two\nlines"]
+
+
+def test_waits_outside_the_window(spark):
+    waits = spark.createDataFrame([("Caliente", 5.0, 1), ("Caliente", -30.0, 0), ("Caliente", 500.0, 1)], "temperatura string, horas_al_primer_contacto double, cerrado int")
+    factors = spark.createDataFrame([(i, 1.0) for i in range(6)], "dia int, factor double")
+    base = evaluation.base_probability(waits, factors, (0.5,))
+    assert round(base.collect()[0].base, 6) == round(2 / 3, 6)
+    late = spark.createDataFrame([("Caliente", 1), ("Caliente", 9)], "temperatura string, espera int")
+    with pytest.raises(Exception, match="no factor"):
+        evaluation.expected_closings(late, base, factors).collect()
