@@ -18,7 +18,7 @@ from leadloom.llm.common import n_words
 from leadloom.sources.tables import materialize
 
 #: Hash bits, the bits of one histogram level, and the number of nested budgets.
-BITS, LEVEL_BITS, ROUNDS = 60, 15, 3
+BITS, LEVEL_BITS, ROUNDS = 60, 15, 4
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: float = 3.0) -> DataFrame:

@@ -24,7 +24,7 @@ from leadloom.llm.hashing import Sequences, mixed, word_hashes
 from leadloom.sources.tables import materialize
 
 #: Words of a shingle; shingles in a group on average, at most; groups of a point, at least.
-WORDS, FILL, LEAST_GROUPS = 5, 4, 16
+WORDS, FILL, LEAST_GROUPS = 5, 1, 16
 #: Frequent shingles that are put last in the order of rarity; a shingle missing here costs time, not links.
 FREQUENT = 50_000
 #: A task reports shingles that so many documents of one step have.
@@ -223,45 +223,61 @@ class CountTree:
         return self.order[nodes]
 
 
-def tree_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, kinds: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Rows (i, j), one left and one right, that the bounds do not rule out. With `kinds` all those of
-    different kinds. Without, enough to connect what links may connect at first: a row is paired with the
-    leaders near it; one that has none becomes a leader, and is paired with one row near it if there is one."""
-    groups = np.array([len(c) for c in counts])
-    trees = {}
-    for g in np.unique(groups).tolist():
-        # Two documents that link differ in size by a quarter at most, so in groups by a factor of two.
-        rows = np.flatnonzero(right & ((groups == g) | (groups == 2 * g)))
-        trees[g] = (rows, CountTree(np.stack([folded(counts[r], g) for r in rows]), sizes[rows]) if len(rows) else None)
-        rows = np.flatnonzero(right & (groups == g // 2))
-        trees[g, "coarse"] = (rows, CountTree(np.stack([counts[r] for r in rows]), sizes[rows]) if len(rows) else None)
-    leading = np.zeros(len(sizes), bool)
-    out = []
+class _Forest:
+    """Trees over the chosen rows, one for each length of points that a query may meet. Two documents that
+    link differ in size by a quarter at most, so in groups by a factor of two."""
+
+    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray, chosen: np.ndarray) -> None:
+        self.counts, self.sizes = counts, sizes
+        groups, self.trees = np.array([len(c) for c in counts]), {}
+        for g in np.unique(groups).tolist():
+            fine, coarse = np.flatnonzero(chosen & ((groups == g) | (groups == 2 * g))), np.flatnonzero(chosen & (groups == g // 2))
+            self.trees[g] = [(rows, k, CountTree(np.stack([folded(counts[r], k) for r in rows]), sizes[rows])) for rows, k in ((fine, g), (coarse, g // 2)) if len(rows)]
+
+    def near(self, i: int) -> np.ndarray:
+        """Chosen rows that the bounds do not rule out for row i."""
+        found = [rows[tree.near(folded(self.counts[i], k), int(self.sizes[i]))] for rows, k, tree in self.trees[len(self.counts[i])]]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def first_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows, enough to name every row that is near another. A row is paired with the leaders near
+    it. One that has none becomes a leader, and is paired with one row near it if there is one. In a group
+    of copies nearly all rows meet the same few leaders, so it is not expanded into all pairs."""
+    leading = right & ~left  # of two parts, the rows of the other part
+    leaders: list[int] = np.flatnonzero(leading).tolist()
+    forest, out = None, []
     for i in np.flatnonzero(left).tolist():
-        g, near = int(groups[i]), [np.zeros(0, np.int64)]
-        for rows, tree in (trees[g], trees[g, "coarse"]):
-            if tree is not None:
-                near.append(rows[tree.near(folded(counts[i], len(tree.levels[0][0][0])), int(sizes[i]))])
-        near = np.concatenate(near)
-        near = near[(near < i) | ~left[near]]  # within one part each pair once
-        if kinds is not None:
-            near = near[kinds[near] != kinds[i]]
+        n, own = int(sizes[i]), counts[i]
+        if many := len(leaders) > FAN:
+            forest = forest or _Forest(counts, sizes, right)
+            near = forest.near(i)
+            led = near[leading[near]].tolist()
         else:
-            led = near[leading[near] | ~left[near]]
-            leading[i] = not len(led)
-            near = led if len(led) else near[:1]
-        out += [(i, j) for j in near.tolist()]
+            led = [j for j in leaders if 5 * min(n, sizes[j]) >= 4 * max(n, sizes[j]) and 9 * shared_at_most(own, counts[j]) >= 4 * (n + sizes[j])]
+        if not led and right[i]:
+            leaders.append(i)
+            leading[i] = True
+            if len(sizes) > 2 and i:
+                forest = forest or _Forest(counts, sizes, right)
+                near = near if many else forest.near(i)
+                led = near[near < i][:1].tolist()
+        out += [(i, j) for j in led]
     return out
 
 
-def small_pairs(counts: list[np.ndarray], sizes: list[int]) -> list[tuple[int, int]]:
-    """All rows (i, j) of a few that the bounds do not rule out: a tree of one leaf."""
-    out = []
-    for i in range(1, len(sizes)):
-        for j in range(i):
-            need = 4 * (sizes[i] + sizes[j])
-            if 9 * min(sizes[i], sizes[j]) >= need and 9 * shared_at_most(counts[i], counts[j]) >= need:
-                out.append((i, j))
+def other_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, kinds: np.ndarray) -> set[tuple[int, int]]:
+    """All pairs of a left and a right row of different components that the bounds do not rule out. One of
+    the two is outside the largest component, so only such rows are looked up."""
+    values, times = np.unique(kinds, return_counts=True)
+    outside = kinds != values[times.argmax()]
+    out = set()
+    for asked, chosen in ((left, right), (right, left)):
+        forest = _Forest(counts, sizes, chosen)
+        for i in np.flatnonzero(asked & outside).tolist():
+            out.update((max(i, j), min(i, j)) for j in forest.near(i).tolist() if kinds[j] != kinds[i])
+        if (left == right).all():
+            break
     return out
 
 
@@ -272,12 +288,9 @@ def _tree_join(members: DataFrame, first: bool) -> DataFrame:
         current, rows = None, []
 
         def made() -> list[tuple[int, int]]:
-            counts, sizes = [np.frombuffer(r[3], np.uint8) for r in rows], [r[1] for r in rows]
-            if first and len(rows) <= FAN and current[1] == current[2]:
-                pairs = small_pairs(counts, sizes)
-            else:
-                part = np.array([r[4] for r in rows])
-                pairs = tree_pairs(counts, np.array(sizes, np.int64), part == current[1], part == current[2], None if first else np.array([r[2] for r in rows], np.int64))
+            counts, part = [np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[4] for r in rows])
+            cell = counts, np.array([r[1] for r in rows], np.int64), part == current[1], part == current[2]
+            pairs = first_pairs(*cell) if first else other_pairs(*cell, np.array([r[2] for r in rows], np.int64))
             return [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in pairs]
 
         for batch in batches:
@@ -296,7 +309,7 @@ def _tree_join(members: DataFrame, first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     cells = ["key", "part_lo", "part_hi"]
-    return members.repartition(*cells).sortWithinPartitions(*cells, "n", "node").mapInArrow(joined, "a long, b long").distinct()
+    return members.repartition(*cells).sortWithinPartitions(*cells, "node").mapInArrow(joined, "a long, b long").distinct()
 
 
 def _parted(rows: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -327,8 +340,8 @@ def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()  # every node that is near another
     sets = materialize(_sets(docs, nodes), "sets")
     links = materialize(_verified(pairs, sets), "first-links")
-    # Buckets too large to be compared in full at first, if links do not connect all their nodes.
-    large = buckets.join(once.filter(F.col("rows") > FAN), "key").select("key", "rows", "node").join(nodes, F.col("node") == nodes["doc_id"], "left_semi")
+    # Buckets of more than a pair, if links do not connect all their nodes that are near another.
+    large = buckets.join(once.filter("rows > 2"), "key").select("key", "rows", "node").join(nodes, F.col("node") == nodes["doc_id"], "left_semi")
     placed = large.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.select("key", "rows", "node", "component"), "large-buckets")
     open_ = placed.groupBy("key", "rows").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "rows")

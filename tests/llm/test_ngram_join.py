@@ -54,7 +54,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(spark, seed, monkeypatch):
-    if seed > 1:  # trees and second rounds for small buckets as well
+    if seed > 1:  # trees of several levels
         monkeypatch.setattr(nj, "FAN", 2)
     if seed == 3:  # every bucket is cut into parts
         monkeypatch.setattr(nj, "BLOCK", 3)
@@ -87,17 +87,21 @@ def test_tree_rules_out_no_link():
             sets.append(np.unique(np.concatenate([base[rnd.random(len(base)) < 0.95], rnd.integers(0, 1 << 62, len(base) // 20).astype(np.uint64)])))
     counts, sizes = [nj.points(s) for s in sets], np.array([len(s) for s in sets])
     all_, kinds = np.ones(len(sets), bool), np.arange(len(sets))
-    near = {(min(p), max(p)) for p in nj.tree_pairs(counts, sizes, all_, all_, kinds)}
-    assert near == {(j, i) for i, j in nj.small_pairs(counts, sizes.tolist())}
+    pair = lambda ps: {(min(p), max(p)) for p in ps}
+    near = pair(nj.other_pairs(counts, sizes, all_, all_, kinds))
     for i, j in combinations(range(len(sets)), 2):
         shared = len(np.intersect1d(sets[i], sets[j]))
-        assert shared <= nj.shared_at_most(counts[i], counts[j])
-        if 9 * shared >= 4 * (len(sets[i]) + len(sets[j])):
+        bound = nj.shared_at_most(counts[i], counts[j])
+        assert shared <= bound
+        assert ((i, j) in near) == (9 * bound >= 4 * (sizes[i] + sizes[j]))
+        if 9 * shared >= 4 * (sizes[i] + sizes[j]):
             assert (i, j) in near
     assert len(near) < 700
     # The first round names every row that is near another.
-    first = nj.tree_pairs(counts, sizes, all_, all_)
-    assert {x for p in first for x in p} == {x for p in near for x in p} and len(first) <= len(near)
+    first = pair(nj.first_pairs(counts, sizes, all_, all_))
+    assert {x for p in first for x in p} == {x for p in near for x in p} and first <= near
     halves = np.arange(len(sets)) % 2 == 0
-    crossed = {(min(p), max(p)) for p in nj.tree_pairs(counts, sizes, halves, ~halves, kinds)}
-    assert crossed == {p for p in near if halves[p[0]] != halves[p[1]]}
+    crossed = {p for p in near if halves[p[0]] != halves[p[1]]}
+    assert pair(nj.other_pairs(counts, sizes, halves, ~halves, kinds)) == pair(nj.first_pairs(counts, sizes, halves, ~halves)) == crossed
+    some = kinds // 5 % 3
+    assert pair(nj.other_pairs(counts, sizes, all_, all_, some)) == {p for p in near if some[p[0]] != some[p[1]]}
