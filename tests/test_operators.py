@@ -377,7 +377,7 @@ def test_stratified_sample(spark):
     rows = [(f"C{i:03}", 1, "cliente", "hola") for i in range(60)] + [(f"C{i:03}", 2, "cliente", "2 palos de contado" if i % 7 == 0 else "bien") for i in range(5, 60)]
     msgs = spark.createDataFrame(rows, "conversacion_id string, orden int, emisor string, texto string")
     chats_ = spark.createDataFrame([(f"C{i:03}",) for i in range(60)], "conversacion_id string")
-    got = evaluation.stratified_sample(msgs, chats_, ["Bajaj"]).orderBy("posicion").collect()
+    got = evaluation.stratified_sample(msgs, chats_, chat.brand_pattern(["Bajaj"])).orderBy("posicion").collect()
     assert len(got) == 40 and [r.conversacion_id for r in got[:6]] == ["C000", "C001", "C007", "C014", "C021", "C028"]
     assert [r.estrato for r in got[:6]] == ["sin_respuesta"] * 2 + ["jerga_palos"] * 2 + ["contado"] * 2
 
