@@ -31,6 +31,8 @@ FREQUENT = 50_000
 REPORTED = 4
 #: Points of a tree node; rows of a bucket that one task compares with each other; parts of a document's pairs.
 FAN, BLOCK, PARTS = 16, 20_000, 16
+#: Bits of the bitmap of nodes, at most (32 MB).
+MOST_BITS = 1 << 28
 
 
 def shingle_sets(values: list[bytes]) -> list[np.ndarray]:
@@ -163,15 +165,26 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id and shingles of the nodes."""
+    """doc_id and shingles of the nodes, and of the few documents that share a bit of their bitmap. Texts are
+    not shuffled: the bitmap of the nodes goes to every task. It has sixteen bits a node up to MOST_BITS;
+    with more nodes it lets more documents pass, which costs space and changes nothing else."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * nodes.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    parts = nodes.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("block")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bitmap"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bitmap[r["block"] * 4096: (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap)  # MOST_BITS bits at most
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, "text"):
+            place = batch.column("at").to_numpy()
+            there = (marked.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            for step in steps(batch.filter(pa.array(there)), "text"):
                 sets = shingle_sets(step.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(made, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(made, "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
