@@ -79,25 +79,32 @@ def cells(anchors: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Seen:
-    """Texts that a task has met. Of equal texts none with a larger id than one before counts again."""
+    """Texts that a task has met. Of equal texts none with a larger id than one before is fresh."""
 
     def __init__(self) -> None:
         self.least: dict[bytes, int] = {}
+        self.again: set[bytes] = set()
 
-    def fresh(self, ids: list[int], values: list[bytes]) -> list[bool]:
+    def met(self, ids: list[int], values: list[bytes]) -> list[tuple[bool, bool]]:
+        """Of each row whether it is fresh, and whether it is the second of its text."""
         out = []
         for i, v in zip(ids, values, strict=True):
             own = hashlib.blake2b(v, digest_size=16).digest()
             before = self.least.get(own)
-            out.append(before is None or i <= before)
-            if out[-1]:
+            fresh, second = before is None or i <= before, before is not None and own not in self.again
+            out.append((fresh, second))
+            if fresh:
                 self.least[own] = i
+            if second:
+                self.again.add(own)
         return out
 
 
 def sketch(rows: DataFrame, width: int, window: int) -> tuple[bytes, np.ndarray]:
     """Of the merged sketch: a bit for each counter, set from 2 on, and the counters of at least HOT.
 
+    A task counts a text that it meets again a second time, whatever the id, and from then on only if it is
+    fresh: the anchors of any two rows reach 2 however rows are dealt to tasks and in whatever order.
     Each task sends its nonzero counters by block; the blocks are added up apart from each other, and
     only a bit of each counter comes to the driver (at most DEPTH * MOST_CELLS bits)."""
 
@@ -114,8 +121,8 @@ def sketch(rows: DataFrame, width: int, window: int) -> tuple[bytes, np.ndarray]
         for batch in batches:
             for step in steps(batch, "text"):
                 ids, values = step.column("doc_id").to_pylist(), step.column("text").cast(pa.binary()).to_pylist()
-                fresh = seen.fresh(ids, values)
-                made = Windows([v for v, f in zip(values, fresh, strict=True) if f], window)
+                counts = [fresh or second for fresh, second in seen.met(ids, values)]
+                made = Windows([v for v, c in zip(values, counts, strict=True) if c], window)
                 if len(made.text):
                     new = np.concatenate([[True], (made.anchors[1:] != made.anchors[:-1]) | (made.text[1:] != made.text[:-1])])
                     own = cells(made.anchors[new], width).astype(np.int64)
@@ -178,7 +185,7 @@ def repeated_windows(rows: DataFrame, width: int, window: int, twice, hot) -> Da
         for batch in batches:
             for step in steps(batch, "text"):
                 ids, values = step.column("doc_id").to_pylist(), step.column("text").cast(pa.binary()).to_pylist()
-                fresh = seen.fresh(ids, values)
+                fresh = [f for f, _ in seen.met(ids, values)]
                 whole = np.array([i for i, f in zip(ids, fresh, strict=True) if not f], np.int64)
                 own_ids = np.array([i for i, f in zip(ids, fresh, strict=True) if f], np.int64)
                 made = Windows([v for v, f in zip(values, fresh, strict=True) if f], window)

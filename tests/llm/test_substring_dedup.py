@@ -55,3 +55,13 @@ def test_empty_and_kept_text(spark):
     one = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, one), (2, "a " + one + " b"), (2, "a " + one + " b")], "doc_id long, text string")
     assert sorted(tuple(r) for r in sd.remove_repeats(df).collect()) == [(1, 60, 0, one), (2, 62, 60, "a b"), (2, 62, 60, "a b")]
+
+
+def test_estimates_hold_when_the_second_pass_is_planned_anew(spark):
+    """Copies that one task counts are sent by whatever tasks of the second pass meet them, in any order."""
+    text = " ".join(f"w{i}" for i in range(60))
+    dealt = lambda ids, tasks: spark.createDataFrame(spark.sparkContext.parallelize([(i, text) for i in ids], tasks), "doc_id long, text string")
+    twice, hot = (spark.sparkContext.broadcast(b) for b in sd.sketch(dealt((5, 10, 20), 1), sd.BLOCK, 50))
+    for second in (dealt((5, 10), 2), dealt((10, 5), 1)):
+        found = sd.repeated_windows(second, sd.BLOCK, 50, twice, hot).collect()
+        assert sorted((r.doc_id, r.place) for r in found) == [(d, k) for d in (5, 10) for k in range(11)]
