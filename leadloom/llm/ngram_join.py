@@ -195,17 +195,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = pairs.select("a", part("b")).distinct().join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, mine = None, None
+        first, mine = None, {}  # a and its sets: rows that repeat an id may have several
         for batch in batches:
             found, shingles = [], batch.column("shingles")
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 other = np.frombuffer(shingles[i].as_py(), np.uint64)
                 if b is None:
-                    first, mine = a, other
-                elif first == a:
-                    joint = np.sort(np.concatenate([mine, other]), kind="stable")
-                    if 9 * int((joint[1:] == joint[:-1]).sum()) >= 4 * (len(mine) + len(other)):
-                        found.append((a, b))
+                    if first != a:
+                        first, mine = a, {}
+                    mine[other.tobytes()] = other
+                elif first == a != b:
+                    for own_set in mine.values():
+                        joint = np.sort(np.concatenate([own_set, other]), kind="stable")
+                        if 9 * int((joint[1:] == joint[:-1]).sum()) >= 4 * (len(own_set) + len(other)):
+                            found.append((a, b))
+                            break
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(counted, "a long, b long")
@@ -331,7 +335,7 @@ def _parted(rows: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFram
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
     cut = rows.join(chosen.select("key", parts.alias("parts")), "key").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    points_ = profiles.filter("n > 0").select(F.col("doc_id").alias("node"), "n", "point").dropDuplicates(["node"])
+    points_ = profiles.filter("n > 0").select(F.col("doc_id").alias("node"), "n", "point", "hi", "lo").dropDuplicates(["node", "hi", "lo", "n"]).drop("hi", "lo")  # one for each set of an id
     return cut.select("key", F.least("part", "other").alias("part_lo"), F.greatest("part", "other").alias("part_hi"), "part", "node", "component").join(points_, "node")
 
 
@@ -345,8 +349,8 @@ def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((hashes[order], ranks[order]))  # at most FREQUENT pairs of numbers
     keyed = _prefixes(docs, frequent).repartition("key").sortWithinPartitions("key", "tag", "doc_id")
     buckets = materialize(keyed.mapInArrow(_buckets, "key long, node long"), "buckets")
-    # Buckets of the same nodes are compared once.
-    alike = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
+    # Buckets of the same nodes are compared once. An id of several sets may be in a bucket twice, which the xor does not see and the sum does.
+    alike = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("s"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 32)).alias("t"))
     once = materialize(alike.groupBy("rows", "s", "t").agg(F.min("key").alias("key")).select("key", "rows"), "distinct-buckets")
     rows = buckets.withColumn("component", F.lit(None).cast("long"))
     pairs = materialize(_tree_join(_parted(rows, once, profiles), True), "first-pairs")

@@ -74,6 +74,20 @@ def test_chains_and_a_hub_that_links_to_nobody(spark):
     assert sorted((tuple(r) for r in nj.similar(df).collect()), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_an_id_of_several_texts_links_by_each(spark, seed):
+    rnd = random.Random(seed)
+    say = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    rows, stories = [], [say() for _ in range(12)]
+    for k, own in enumerate(stories):  # ids 100, 101, ... have two texts each; others are near one of them
+        rows += [(100 + k // 2, " ".join(own)), (k, " ".join([*own[1:], "end"])), (50 + k, " ".join([*own[:-1], "start"]))]
+    for own, other in ((say(), 201), (say(), 202)):  # the buckets of id 200 with 201 and with 202 hold these twice
+        rows += [(200, " ".join(own)), (other, " ".join([*own, "more"])), (other, " ".join([*own, "less"]))]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in nj.similar(df).collect()), key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert nj.similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
