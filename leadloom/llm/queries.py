@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, ngram_join, page_diff, quality_crf, source_audit, substring_dedup, token_counts
+from leadloom.llm import bpe_index, exact_dedup, language_id, mixing, multiset_hash, ngram_join, page_diff, quality_crf, source_audit, substring_dedup, suffix_repeats, token_counts, whitening
 from leadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +57,17 @@ def op11_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return source_audit.audit(table(spark, folder, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, folder, "documents"), digests=True)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_quality, op2_multiset_fingerprints, op3_token_counts, op4_shingle_join, op5_language_codes, op6_exact_dedup, op7_source_mix,
-    op8_bpe_round_trip, op9_repeated_passages, op10_page_text, op11_source_audit,
+    op8_bpe_round_trip, op9_repeated_passages, op10_page_text, op11_source_audit, op12_embedding_whitening, op13_suffix_repeats,
 )}
 
 OP6_SQL = """
