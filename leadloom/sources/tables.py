@@ -30,7 +30,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.written_at = path
+    return stage
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes written stages whose last reader is written itself, so nothing is left that could read them again."""
+    for stage in stages:
+        spark = stage.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(stage.written_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
