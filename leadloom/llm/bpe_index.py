@@ -27,7 +27,7 @@ from leadloom.llm.token_counts import byte_letters
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
 #: Words whose encoding a Python worker remembers; beyond, it starts to remember anew with the next batch.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def normalised(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.sources.tables import materialize
+from leadloom.sources.tables import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: u and its neighbours below go to the least of them.
         small = large.join(least(large), "u")
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v")).filter("u <> v"))
-        edges = materialize(moved.distinct(), "small-star")
+        old, edges = edges, materialize(moved.distinct(), "small-star")
+        discard(old, large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

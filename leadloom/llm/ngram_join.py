@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import steps
 from leadloom.llm.components import components
 from leadloom.llm.hashing import Sequences, mixed, word_hashes
-from leadloom.sources.tables import materialize
+from leadloom.sources.tables import discard, materialize
 
 #: Words of a shingle; shingles in a group on average, at most; groups of a point, at least.
-WORDS, FILL, LEAST_GROUPS = 5, 1, 16
+WORDS, FILL, LEAST_GROUPS = 5, 4, 16
 #: Frequent shingles that are put last in the order of rarity; a shingle missing here costs time, not links.
 FREQUENT = 50_000
 #: A task reports shingles that so many documents of one step have.
@@ -260,27 +260,49 @@ class _Forest:
 def first_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows, enough to name every row that is near another. A row is paired with the leaders near
     it. One that has none becomes a leader, and is paired with one row near it if there is one. In a group
-    of copies nearly all rows meet the same few leaders, so it is not expanded into all pairs."""
-    leading = right & ~left  # of two parts, the rows of the other part
-    leaders: list[int] = np.flatnonzero(leading).tolist()
+    of copies nearly all rows meet the same few leaders, so it is not expanded into all pairs. Of two
+    parts only the leaders of each meet the other part: its leaders near them, or else one row near them."""
+    if not (left == right).all():
+        return _pairs_across(counts, sizes, left, right)
+    return _led(counts, sizes, np.flatnonzero(left))[0]
+
+
+def _led(counts: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of one part and its leaders."""
+    chosen, leading = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
+    chosen[rows] = True
+    leaders: list[int] = []
     forest, out = None, []
-    for i in np.flatnonzero(left).tolist():
+    for i in rows.tolist():
         n, own = int(sizes[i]), counts[i]
         if many := len(leaders) > FAN:
-            forest = forest or _Forest(counts, sizes, right)
+            forest = forest or _Forest(counts, sizes, chosen)
             near = forest.near(i)
             led = near[leading[near]].tolist()
         else:
             led = [j for j in leaders if 5 * min(n, sizes[j]) >= 4 * max(n, sizes[j]) and 9 * shared_at_most(own, counts[j]) >= 4 * (n + sizes[j])]
-        if not led and right[i]:
+        if not led:
             leaders.append(i)
             leading[i] = True
-            if len(sizes) > 2 and i:
-                forest = forest or _Forest(counts, sizes, right)
+            if len(rows) > 2 and i != rows[0]:
+                forest = forest or _Forest(counts, sizes, chosen)
                 near = near if many else forest.near(i)
                 led = near[near < i][:1].tolist()
         out += [(i, j) for j in led]
-    return out
+    return out, leaders
+
+
+def _pairs_across(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    sides = [(_led(counts, sizes, np.flatnonzero(side))[1], other) for side, other in ((left, right), (right, left))]
+    out: set[tuple[int, int]] = set()
+    for (leaders, other), (others, _) in zip(sides, sides[::-1], strict=True):
+        forest, leading = _Forest(counts, sizes, other), np.zeros(len(sizes), bool)
+        leading[others] = True
+        for i in leaders:
+            near = forest.near(i)
+            led = near[leading[near]]
+            out.update((max(i, j), min(i, j)) for j in (led if len(led) else near[:1]).tolist())
+    return list(out)
 
 
 def other_pairs(counts: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, kinds: np.ndarray) -> set[tuple[int, int]]:
@@ -339,8 +361,9 @@ def _parted(rows: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFram
     return cut.select("key", F.least("part", "other").alias("part_lo"), F.greatest("part", "other").alias("part_hi"), "part", "node", "component").join(points_, "node")
 
 
-def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Links a, b between documents of different sets, enough of them to connect all that links connect."""
+def _links(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Links a, b between documents of different sets, enough of them to connect all that links connect, and
+    the written stages that they read."""
     spark = docs.sparkSession
     reported = profiles.filter("n IS NULL").groupBy("lo").agg(F.sum("hi").alias("times")).orderBy(F.desc("times"), "lo").limit(FREQUENT).collect()
     hashes = np.array([r["lo"] for r in reported], np.int64).view(np.uint64)
@@ -361,9 +384,11 @@ def _links(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     large = buckets.join(once.filter("rows > 2"), "key").select("key", "rows", "node").join(nodes, F.col("node") == nodes["doc_id"], "left_semi")
     placed = large.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.select("key", "rows", "node", "component"), "large-buckets")
+    discard(buckets)
     open_ = placed.groupBy("key", "rows").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "rows")
     more = materialize(_tree_join(_parted(placed.drop("rows"), open_, profiles), False).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    return links.unionByName(_verified(more, sets))
+    discard(once, pairs, placed)
+    return links.unionByName(_verified(more, sets)), (links, more, sets)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,7 +408,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = own.filter("n > 0 AND doc_id IS NOT NULL")
     classes = counted.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("least"))
     same = counted.join(classes, ["hi", "lo", "n"]).filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    found = components(_links(rows.filter(F.col("doc_id").isNotNull()), profiles).unionByName(same))
+    links, read = _links(rows.filter(F.col("doc_id").isNotNull()), profiles)
+    found = components(links.unionByName(same))
+    discard(*read)
     return own.join(found, own["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

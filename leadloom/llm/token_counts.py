@@ -22,7 +22,7 @@ from leadloom.llm.common import per_step, texts
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Pieces whose counts a Python worker remembers; beyond, it starts to remember anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -116,6 +116,20 @@ def test_tree_rules_out_no_link():
     assert {x for p in first for x in p} == {x for p in near for x in p} and first <= near
     halves = np.arange(len(sets)) % 2 == 0
     crossed = {p for p in near if halves[p[0]] != halves[p[1]]}
-    assert pair(nj.other_pairs(counts, sizes, halves, ~halves, kinds)) == pair(nj.first_pairs(counts, sizes, halves, ~halves)) == crossed
+    assert pair(nj.other_pairs(counts, sizes, halves, ~halves, kinds)) == crossed
+    # Two parts and what is across them name the same rows.
+    across = pair(nj.first_pairs(counts, sizes, halves, ~halves))
+    parts = across | pair(nj.first_pairs(counts, sizes, halves, halves)) | pair(nj.first_pairs(counts, sizes, ~halves, ~halves))
+    assert across <= crossed and {x for p in parts for x in p} == {x for p in near for x in p}
     some = kinds // 5 % 3
     assert pair(nj.other_pairs(counts, sizes, all_, all_, some)) == {p for p in near if some[p[0]] != some[p[1]]}
+
+
+@pytest.mark.parametrize("n", [100, 400, 1600])
+def test_copies_in_two_parts_give_pairs_in_proportion(n):
+    rnd = np.random.default_rng(n)
+    base = rnd.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.where(rnd.random(200) < 0.01, rnd.integers(0, 1 << 62, 200).astype(np.uint64), base)) for _ in range(n)]
+    counts, sizes, halves = [nj.points(s) for s in sets], np.array([len(s) for s in sets]), np.arange(n) % 2 == 0
+    cells = [(halves, halves), (halves, ~halves), (~halves, ~halves)]
+    assert sum(len(nj.first_pairs(counts, sizes, *cell)) for cell in cells) <= 2 * n
