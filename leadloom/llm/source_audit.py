@@ -203,7 +203,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
 
     rows = shares.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "count", "p", "p0"))).alias("items"))
     rows = rows.filter(F.size("items") > 1).groupBy("lang", "items").agg(F.count(F.lit(1)).alias("times"))
-    ordered = materialize(rows, "term-rows").repartitionByRange("lang", "items").sortWithinPartitions("lang", "items")
+    # Ranges follow the first two items of a path, so the sample that cuts them stays small however long the rows are.
+    head = [F.try_element_at("items", F.lit(k))[c] for k in (1, 2) for c in ("source", "count")]
+    ordered = materialize(rows, "term-rows").repartitionByRange("lang", *head).sortWithinPartitions("lang", "items")
     corrected = ordered.mapInArrow(_corrections, "lang string, source string, item string, value long")
 
     zero = groups.filter("terms = 0").select("lang", "source")
