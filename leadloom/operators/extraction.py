@@ -7,6 +7,7 @@ with combinable aggregates and no chat is gathered whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from leadloom import fixed
 from leadloom.functions import chat, text
 from leadloom.operators.ranking import with_rank
+from leadloom.sources.tables import materialize
 
 FIELDS = fixed.EVALUATED_FIELDS
 CHAT = "conversacion_id"
@@ -135,8 +137,54 @@ def extract_with_cache(chats: DataFrame, messages: DataFrame, hashes: DataFrame,
     return keyed.join(known, "hash_contenido"), chosen
 
 
+@dataclass(frozen=True)
+class Extractor:
+    """A plug-in: `extract` takes (chats, their messages) and returns one or more rows per chat, the last by `order`."""
+
+    name: str
+    version: str
+    extract: Callable[[DataFrame, DataFrame], DataFrame]
+    order: str | None = None
+
+
+#: Columns of a stored extraction.
+STORED = (
+    "hash_contenido string, modelo_texto string, cuota_inicial_cop bigint, menciona_cuota string, forma_pago string, intencion string, objecion string, "
+    "pidio_cita boolean, pidio_cotizacion boolean, cliente_respondio boolean, evidencia map<string;string>"
+).replace(";", ",")
+
+
+def through_store(chats: DataFrame, messages: DataFrame, store, primary: Extractor, fallback: Extractor, batch: str) -> tuple[DataFrame, dict[str, int]]:
+    """(extraction of every chat with `hash_contenido`, `extractor` and `en_cache`, counts of the run).
+
+    Contents that the primary extractor resolved in earlier batches are read. Of the others one chat for each content is
+    extracted, by the fallback where the primary gives no valid row, and added to the store under the name of
+    who resolved it; only what the primary resolved is a hit in later runs. Without new contents no extractor is called.
+    """
+    keyed = materialize(content_hashes(chats, messages), "hashes")
+    cached = store.cached(primary.name, primary.version).select("hash_contenido", *FIELDS, "evidencia", "extractor").withColumn("en_cache", F.lit(True))
+    pending = materialize(keyed.join(cached.select("hash_contenido"), "hash_contenido", "left_anti").groupBy("hash_contenido").agg(F.min(CHAT).alias(CHAT)), "pending")
+    counts = {"extraccion_calculadas": pending.count(), "extraccion_respaldo": 0}
+    if counts["extraccion_calculadas"]:
+        ids = pending.select(CHAT)
+        asked = messages.join(ids, CHAT, "left_semi")
+        told, order = primary.extract(ids, asked), primary.order
+        if order is None:
+            told, order = told.withColumn("_orden", F.lit(0)), "_orden"
+        fresh = with_fallback(ids, asked, told, fallback.extract, order, primary.name, fallback.name)
+        added = store.add(fresh.join(pending, CHAT).withColumn("prompt_version", F.lit(primary.version)), batch)
+        counts["extraccion_respaldo"] = added.filter(F.col("extractor") == fallback.name).count() if fallback.name != primary.name else 0
+        known = cached.unionByName(added.select("hash_contenido", *FIELDS, "evidencia", "extractor").withColumn("en_cache", F.lit(False)))
+    else:
+        known = cached
+    found = keyed.join(known, "hash_contenido")
+    counts["extraccion_reusadas"] = keyed.count() - counts["extraccion_calculadas"]
+    return found, counts
+
+
 def with_fallback(chats: DataFrame, messages: DataFrame, primary: DataFrame,
-                  fallback: Callable[[DataFrame, DataFrame], DataFrame], order: str) -> DataFrame:
+                  fallback: Callable[[DataFrame, DataFrame], DataFrame], order: str, name: str = fixed.PRIMARY_NAME,
+                  fallback_name: str = fixed.RULES_NAME) -> DataFrame:
     """Schema-valid primary rows of known chats win, of several for a chat the last by `order`; rules
     resolve the rest. `extractor` says which."""
     ids = chats.select(CHAT)
@@ -145,7 +193,7 @@ def with_fallback(chats: DataFrame, messages: DataFrame, primary: DataFrame,
     good = valid.groupBy(CHAT).agg(F.max_by(F.struct(*rest_of), order).alias("r")).select(CHAT, "r.*")
     rest = ids.join(good.select(CHAT), CHAT, "left_anti")
     ruled = fallback(rest, messages.join(rest, CHAT, "left_semi"))
-    return good.withColumn("extractor", F.lit(fixed.PRIMARY_NAME)).unionByName(ruled.withColumn("extractor", F.lit(fixed.RULES_NAME)))
+    return good.withColumn("extractor", F.lit(name)).unionByName(ruled.withColumn("extractor", F.lit(fallback_name)))
 
 
 def _valid_row() -> Column:

@@ -7,6 +7,7 @@ pruning, and nothing to recompute when an executor is lost.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from functools import cached_property
 
@@ -17,7 +18,7 @@ from leadloom import fixed
 from leadloom.functions import chat
 from leadloom.operators import assignment, catalogue, consolidate, entities, extraction, quality, scoring, standardize
 from leadloom.operators.quality import CHATS_FILE, log_of, problem
-from leadloom.sources.tables import materialize
+from leadloom.sources.tables import ExtractionStore, materialize
 
 
 def stage(builder: Callable[[Daily], DataFrame]) -> property:
@@ -42,6 +43,7 @@ def view(builder: Callable[[Daily], DataFrame]) -> property:
 
 
 BUILDERS: dict[str, Callable[[Daily], DataFrame]] = {}
+AFTER_EXTRACTION = ("extraction", "unsupported", "checked", "placed", "signals", "scores", "assignment", "quality_log")
 
 
 class Daily:
@@ -52,6 +54,21 @@ class Daily:
         self.inputs, self.window, self.days, self.day = inputs, window, days, day
         self.materialized = materialized
         self._stages: dict[str, DataFrame] = {}
+        self.extraction_counts: dict[str, int] = {}
+        self.extractor = self.rules
+
+    def with_extraction(self, store: ExtractionStore, primary: extraction.Extractor, batch: str, fallback: extraction.Extractor | None = None) -> Daily:
+        """The same plan with chats extracted through a store: stages before the extraction are shared, the extraction
+        and what follows it are built anew. `extraction_counts` says how much was computed."""
+        other = copy.copy(self)
+        found, other.extraction_counts = extraction.through_store(self.chats, self.messages, store, primary, fallback or self.rules, batch)
+        other._stages = {k: v for k, v in self._stages.items() if k not in AFTER_EXTRACTION} | {"extraction": materialize(found, "extraction")}
+        other.extractor = primary
+        return other
+
+    @property
+    def rules(self) -> extraction.Extractor:
+        return extraction.Extractor(fixed.RULES_NAME, fixed.RULES_VERSION, lambda chats, messages: extraction.rule_extraction(chats, messages, self.brands))
 
     def build(self, name: str) -> DataFrame:
         """The plan of one stage over its (possibly written) inputs."""

@@ -11,6 +11,7 @@ from leadloom.operators import catalogue, consolidate, entities, extraction, qua
 from leadloom.plans.oracle_base import with_ctes
 from leadloom.plans.oracle_chat import CTES, clean_model, pattern  # noqa: F401  (registers the CTEs)
 from leadloom.plans.registry import Registry, daily
+from leadloom.sources import tables
 
 reg = Registry()
 ID = "conversacion_id"
@@ -237,12 +238,54 @@ def signals(spark, folder) -> DataFrame:
     return daily(spark, folder).build("signals").drop("sin_respaldo")
 
 
+# Two runs over one store. A primary extractor resolves every third chat (intention `alta`); rules do the rest. The first run
+# sees every second chat, the second one all: it reads what the primary has resolved and computes the other contents.
+RUNS = {
+    "all_hashes": ("SELECT c.conversacion_id, coalesce(h.hash_contenido, '0-0-0-0-0') AS hash_contenido FROM chats AS c LEFT JOIN hashes AS h USING (conversacion_id)", ("chats", "hashes")),
+    "run1": ("SELECT hash_contenido, min(conversacion_id) AS rep FROM all_hashes WHERE conversacion_id % 2 = 0 GROUP BY 1", ("all_hashes",)),
+    "hits": ("SELECT hash_contenido FROM run1 WHERE rep % 3 = 0", ("run1",)),
+    "run2": ("SELECT hash_contenido, min(conversacion_id) AS rep FROM all_hashes WHERE hash_contenido NOT IN (SELECT hash_contenido FROM hits) GROUP BY 1", ("all_hashes", "hits")),
+    "tagged": ("SELECT a.conversacion_id, a.hash_contenido, i.hash_contenido IS NOT NULL AS en_cache, CASE WHEN i.hash_contenido IS NOT NULL OR r.rep % 3 = 0 THEN 'gemini' ELSE 'reglas' END AS extractor "
+                 "FROM all_hashes AS a LEFT JOIN hits AS i USING (hash_contenido) LEFT JOIN run2 AS r USING (hash_contenido)", ("all_hashes", "hits", "run2")),
+}
+
+
+def third_chats(d) -> extraction.Extractor:
+    def extract(chats, messages):
+        own = chats.filter(F.col(ID) % 3 == 0)
+        return extraction.rule_extraction(own, messages.join(own, ID, "left_semi"), d.brands).withColumn("intencion", F.lit("alta"))
+
+    return extraction.Extractor(fixed.PRIMARY_NAME, "v4", extract)
+
+
+def new_store(spark) -> tables.ExtractionStore:
+    return tables.ExtractionStore(spark, tables.new_path(spark, "extraccion"), extraction.STORED)
+
+
 @reg.query("x15_extraction_stage", with_ctes(
-    "SELECT c.conversacion_id, 'reglas' AS extractor, c.sku_extraido, c.menciona_cuota, c.intencion, p.lead_id AS lead_principal FROM checked AS c LEFT JOIN placed AS p USING (conversacion_id)"))
+    "SELECT r.conversacion_id, r.hash_contenido, r.en_cache, r.extractor, c.sku_extraido, e.cuota_inicial_cop AS cuota_cruda, c.cuota_inicial_cop, c.menciona_cuota, "
+    "CASE WHEN r.extractor = 'gemini' THEN 'alta' ELSE e.intencion END AS intencion, e.forma_pago, e.objecion, e.pidio_cita, e.pidio_cotizacion, e.modelo_texto, e.ev_cita AS evidencia_cita, p.lead_id AS lead_principal "
+    "FROM tagged AS r JOIN ext AS e USING (conversacion_id) JOIN checked AS c USING (conversacion_id) LEFT JOIN placed AS p USING (conversacion_id)", HASH | RUNS))
 def extraction_stage(spark, folder) -> DataFrame:
-    d = daily(spark, folder)
-    return d.build("checked").join(d.placed.select(ID, F.col("lead_id").alias("lead_principal")), ID, "left").select(
-        ID, F.lit(fixed.RULES_NAME).alias("extractor"), "sku_extraido", "menciona_cuota", "intencion", "lead_principal")
+    d, store = daily(spark, folder), new_store(spark)
+    some = d.chats.filter(F.col(ID) % 2 == 0)
+    extraction.through_store(some, d.messages.join(some.select(ID), ID, "left_semi"), store, third_chats(d), d.rules, "1")
+    after = d.with_extraction(store, third_chats(d), "2")
+    raw = after.extraction.select(ID, "hash_contenido", "en_cache", "extractor", F.col("cuota_inicial_cop").alias("cuota_cruda"), F.try_element_at("evidencia", F.lit("pidio_cita")).alias("evidencia_cita"))
+    checked = after.build("checked").select(ID, "sku_extraido", "cuota_inicial_cop", "menciona_cuota", "intencion", "forma_pago", "objecion", "pidio_cita", "pidio_cotizacion", "modelo_texto")
+    return raw.join(checked, ID).join(after.build("placed").select(ID, F.col("lead_id").alias("lead_principal")), ID, "left")
+
+
+@reg.query("x15_stored_rows", with_ctes(
+    "SELECT '1' AS lote, hash_contenido, CASE WHEN rep % 3 = 0 THEN 'gemini' ELSE 'reglas' END AS extractor, 'v4' AS prompt_version, e.forma_pago, CASE WHEN rep % 3 = 0 THEN 'alta' ELSE e.intencion END AS intencion FROM run1 JOIN ext AS e ON e.conversacion_id = rep "
+    "UNION ALL SELECT '2', hash_contenido, CASE WHEN rep % 3 = 0 THEN 'gemini' ELSE 'reglas' END, 'v4', e.forma_pago, CASE WHEN rep % 3 = 0 THEN 'alta' ELSE e.intencion END FROM run2 JOIN ext AS e ON e.conversacion_id = rep", HASH | RUNS))
+def stored_rows(spark, folder) -> DataFrame:
+    """What the two runs leave in the store: a third run over the same chats would add only what rules had to resolve."""
+    d, store = daily(spark, folder), new_store(spark)
+    some = d.chats.filter(F.col(ID) % 2 == 0)
+    for batch, chats in (("1", some), ("2", d.chats)):
+        extraction.through_store(chats, d.messages.join(chats.select(ID), ID, "left_semi"), store, third_chats(d), d.rules, batch)
+    return store.read().select("lote", "hash_contenido", "extractor", "prompt_version", "forma_pago", "intencion")
 
 
 @reg.query("c1_c6_score", with_ctes("SELECT * FROM scores"))

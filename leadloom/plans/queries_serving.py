@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed
 from leadloom.operators import catalogue, extraction, quality, scoring, serving, standardize
+from leadloom.plans import run
 from leadloom.plans.oracle_base import CTES, with_ctes
 from leadloom.plans.oracle_chat import clean_model
-from leadloom.plans.queries_chat import EXT, LOG
+from leadloom.plans.queries_chat import EXT, HASH, LOG, RUNS, new_store, third_chats
 from leadloom.plans.registry import Registry, daily
 from leadloom.sources import readers, tables
 
@@ -185,18 +186,32 @@ def history_load(spark, folder) -> DataFrame:
     return tables.merge_upsert(h, h.filter("lead_id % 2 = 0").withColumn("desenlace", F.lit("Perdido")), ["lead_id"])
 
 
-@reg.query("s17_run_log", with_ctes("SELECT 'r1' AS ejecucion_id, 'ok' AS estado, (SELECT fecha_corte FROM cut) AS fecha_corte, (SELECT count(*) FROM std) AS leads, (SELECT count(*) FROM adv) AS asesores "
-                                    "UNION ALL SELECT 'r2', 'error', NULL, 0, 0"))
+COUNTS = ("leads_crudos", "catalogo", "asesor", "historico_cierre", "cliente", "conversacion", "mensaje", "extraccion_calculadas", "extraccion_reusadas", "extraccion_respaldo",
+          "senales_lead", "score", "asignacion", "asignacion_asignados", "asignacion_sin_cupo", "problema_calidad", "lead")
+_TABLES = {"catalogo": "cat", "asesor": "adv", "historico_cierre": "his", "cliente": "clients", "conversacion": "chats", "mensaje": "msg"}
+_REST = {"extraccion_calculadas": "(SELECT count(DISTINCT hash_contenido) FROM all_hashes)", "extraccion_reusadas": "(SELECT count(*) - count(DISTINCT hash_contenido) FROM all_hashes)",
+         "extraccion_respaldo": "(SELECT count(*) FROM (SELECT min(conversacion_id) AS rep FROM all_hashes GROUP BY hash_contenido) AS z WHERE rep % 3 <> 0)",
+         "senales_lead": "(SELECT count(*) FROM signals)", "score": "(SELECT count(*) FROM scores)", "asignacion": "(SELECT count(*) FROM assigned)",
+         "asignacion_asignados": "(SELECT count(*) FROM assigned WHERE estado = 'asignado')", "asignacion_sin_cupo": "(SELECT count(*) FROM assigned WHERE estado = 'sin_cupo')",
+         "problema_calidad": "(SELECT count(*) FROM all_log)", "lead": "(SELECT count(*) FROM std)"}
+
+
+@reg.query("s17_run_log", with_ctes(
+    "SELECT 'r1' AS ejecucion_id, 'ok_con_respaldo' AS estado, (SELECT fecha_corte FROM cut) AS fecha_corte, CAST(NULL AS VARCHAR) AS detalle_error, (SELECT count(*) FROM raw) AS leads_crudos, "
+    + ", ".join(f"(SELECT count(*) FROM {t}) AS {n}" for n, t in _TABLES.items()) + ", " + ", ".join(f"{q} AS {n}" for n, q in _REST.items())
+    + " UNION ALL SELECT 'r2', 'error', NULL, 'ValueError(''no service'')', (SELECT count(*) FROM raw), " + ", ".join(f"(SELECT count(*) FROM {t})" for t in _TABLES.values()) + ", " + ", ".join("0" for _ in _REST), LOG | HASH | RUNS))
 def run_log(spark, folder) -> DataFrame:
-    d = daily(spark, folder)
-    log, began = tables.RunLog(spark, tables.new_path(spark, "ejecucion")), datetime(2026, 1, 1)
-    log.open("r1", began)
-    log.open("r2", began)
-    counts = d.clean_leads.agg(F.count(F.lit(1)).alias("leads")).collect()[0].leads
-    log.close("r1", began, datetime(2026, 1, 2), {"leads": counts, "asesores": d.advisors.count()}, d.cutoff.collect()[0].fecha_corte)
-    log.close("r2", began, datetime(2026, 1, 2), error="ValueError('x')")
+    """One whole run that falls back to the rules for most chats, and one whose extractor fails."""
+    d, out, store = daily(spark, folder), tables.new_path(spark, "corrida"), new_store(spark)
+    log = tables.RunLog(spark, f"{out}/ejecucion")
+
+    def fails(chats, messages):
+        raise ValueError("no service")
+
+    run.run(d, out, log, store, third_chats(d), "r1")
+    run.run(d, f"{out}-2", log, store, extraction.Extractor("other", "v1", fails), "r2")
     count = lambda n: F.coalesce(F.try_element_at("conteos", F.lit(n)), F.lit(0)).alias(n)
-    return log.read().select("ejecucion_id", "estado", "fecha_corte", count("leads"), count("asesores"))
+    return log.read().select("ejecucion_id", "estado", "fecha_corte", "detalle_error", *(count(n) for n in COUNTS))
 
 
 @reg.query("s21_typed_advisors", with_ctes("SELECT * FROM adv"))

@@ -84,6 +84,36 @@ def cached_extractions(cache: DataFrame, extractor: str, version: str, defaults:
     return df.withColumns(filled)
 
 
+class ExtractionStore:
+    """What extractors said of each content: the cache of later runs and the raw record of all versions.
+
+    Each run adds one batch, a folder of its own, so nothing is rewritten; a run that is repeated under its name
+    replaces its batch. Rows keep what the extractor said; validation and audit are never stored.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, f"{schema}, extractor string, prompt_version string"
+
+    def read(self) -> DataFrame:
+        """All rows, with the batch that added them."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], f"{self.schema}, lote string")
+        return self.spark.read.schema(f"{self.schema}, lote string").parquet(self.path)
+
+    def cached(self, extractor: str, version: str) -> DataFrame:
+        """Rows of one extractor and version, one for each content: that of the last batch."""
+        mine = self.read().filter((F.col("extractor") == extractor) & (F.col("prompt_version") == version))
+        rest = [c for c in mine.columns if c != "hash_contenido"]
+        return mine.groupBy("hash_contenido").agg(F.max_by(F.struct(*rest), "lote").alias("r")).select("hash_contenido", "r.*")
+
+    def add(self, rows: DataFrame, batch: str) -> DataFrame:
+        """Writes a batch and returns it as it is stored."""
+        names = [f.split(" ")[0] for f in self.schema.split(", ")]
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/lote={batch}")
+        return self.read().filter(F.col("lote") == batch)
+
+
 RUN_SCHEMA = T.StructType([
     T.StructField("ejecucion_id", T.StringType()), T.StructField("iniciado_en", T.TimestampNTZType()),
     T.StructField("finalizado_en", T.TimestampNTZType()), T.StructField("estado", T.StringType()),
