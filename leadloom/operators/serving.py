@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,52 @@ def visible_assignment(users: DataFrame, assignment: DataFrame) -> DataFrame:
     return of_manager.select(*cols).unionByName(of_advisor.select(*cols)).distinct()
 
 
+class Scope:
+    """What one user sees. Entitlements are the user's own rows, and tables are cut to them by semi joins before anything else,
+    so of tables partitioned by tenant only the user's partitions are read. A user without tenant sees open tables only."""
+
+    def __init__(self, users: DataFrame, user_id: str) -> None:
+        mine = users.filter((F.col("user_id") == user_id) & F.col("empresa_id").isNotNull())
+        self.tenants = mine.select("empresa_id")
+        self.managed = mine.filter(F.col("rol") == "gerente").select("empresa_id")
+        self.seat = mine.filter(F.col("asesor_id").isNotNull()).select("asesor_id", "empresa_id")
+
+    def of_tenant(self, df: DataFrame) -> DataFrame:
+        """Rows of the user's tenant."""
+        return df.join(self.tenants, "empresa_id", "left_semi")
+
+    def managers_only(self, df: DataFrame) -> DataFrame:
+        """Rows of the tenant for its manager: history and quality log."""
+        return df.join(self.managed, "empresa_id", "left_semi")
+
+    def _own_latest(self, assignment: DataFrame) -> DataFrame:
+        return latest_assignment(self.of_tenant(assignment)).join(self.seat, ["asesor_id", "empresa_id"], "left_semi")
+
+    def _clients(self, assignment: DataFrame, leads: DataFrame) -> DataFrame:
+        """Clients assigned to the user at the latest cut-off of the tenant."""
+        own = self._own_latest(assignment).select("lead_id")
+        return self.of_tenant(leads).join(own, "lead_id", "left_semi").select(*CLIENT).distinct()
+
+    def _both(self, df: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The manager's tenant, and elsewhere the rows that the others name."""
+        elsewhere = df.join(self.tenants.join(self.managed, "empresa_id", "left_anti"), "empresa_id", "left_semi")
+        return self.managers_only(df).unionByName(elsewhere.join(others, list(keys), "left_semi"))
+
+    def clients(self, clients: DataFrame, assignment: DataFrame, leads: DataFrame) -> DataFrame:
+        return self._both(clients, self._clients(assignment, leads), CLIENT)
+
+    def leads(self, assignment: DataFrame, leads: DataFrame) -> DataFrame:
+        return self._both(leads, self._clients(assignment, leads), CLIENT)
+
+    def assignment(self, assignment: DataFrame) -> DataFrame:
+        """All dates for the manager, the own rows of the latest one for an advisor."""
+        return self._both(assignment, self._own_latest(assignment).select("fecha_corte", "lead_id", "empresa_id"), ["fecha_corte", "lead_id", "empresa_id"])
+
+    def inherited(self, df: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Rows whose parent the user sees."""
+        return df.join(parents.select(*keys), list(keys), "left_semi")
+
+
 # --- boards -----------------------------------------------------------------------------------
 def advisor_load(assignment: DataFrame, advisors: DataFrame) -> DataFrame:
     """Assigned and priority leads of active advisors per date, against their capacity."""

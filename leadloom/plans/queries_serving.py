@@ -365,6 +365,52 @@ def manager_only(spark, folder) -> DataFrame:
     return serving.in_tenant(d.history, serving.managers(users(d))).select("user_id", "lead_id", "desenlace")
 
 
+_USERS3 = "(SELECT user_id, empresa_id, rol, asesor_id FROM usr WHERE user_id IN ('m1', 'a' || (SELECT CAST(min(asesor_id) AS VARCHAR) FROM last_assigned)))"
+_VIEWS = {
+    "cliente": f"SELECT u.user_id, c.clave_dedup AS clave FROM clients AS c JOIN {_USERS3} AS u ON u.empresa_id = c.empresa_id AND u.rol = 'gerente' UNION ALL SELECT s.user_id, s.clave_dedup FROM sees_client AS s JOIN {_USERS3} AS u USING (user_id) WHERE u.rol <> 'gerente'",
+    "lead": f"SELECT s.user_id, CAST(s.lead_id AS VARCHAR) FROM sees_lead AS s JOIN {_USERS3} AS u USING (user_id)",
+    "mensaje": f"SELECT s.user_id, CAST(m.conversacion_id AS VARCHAR) || '-' || CAST(m.orden AS VARCHAR) FROM sees_lead AS s JOIN {_USERS3} AS u USING (user_id) JOIN chats AS c USING (lead_id) JOIN msg AS m USING (conversacion_id)",
+    "extraccion": f"SELECT s.user_id, CAST(e.conversacion_id AS VARCHAR) FROM sees_lead AS s JOIN {_USERS3} AS u USING (user_id) JOIN chats AS c USING (lead_id) JOIN ext AS e USING (conversacion_id)",
+    "score": f"SELECT s.user_id, CAST(c.lead_id AS VARCHAR) FROM sees_lead AS s JOIN {_USERS3} AS u USING (user_id) JOIN scores AS c ON c.lead_id = s.lead_id AND c.empresa_id = s.empresa_id",
+    "asignacion": f"SELECT u.user_id, CAST(a.fecha_corte AS VARCHAR) || '/' || CAST(a.lead_id AS VARCHAR) FROM two_days AS a JOIN {_USERS3} AS u ON u.empresa_id = a.empresa_id AND u.rol = 'gerente' UNION ALL "
+                  f"SELECT u.user_id, CAST(a.fecha_corte AS VARCHAR) || '/' || CAST(a.lead_id AS VARCHAR) FROM last_assigned AS a JOIN {_USERS3} AS u ON u.empresa_id = a.empresa_id AND u.asesor_id = a.asesor_id AND u.rol <> 'gerente'",
+    "historico_cierre": f"SELECT u.user_id, CAST(h.lead_id AS VARCHAR) FROM his AS h JOIN {_USERS3} AS u ON u.empresa_id = h.empresa_id AND u.rol = 'gerente'",
+    "problema_calidad": f"SELECT u.user_id, l.registro_id || '/' || l.tipo FROM all_log AS l JOIN {_USERS3} AS u ON u.empresa_id = l.empresa_id AND u.rol = 'gerente'",
+    "asesor": f"SELECT u.user_id, CAST(a.asesor_id AS VARCHAR) FROM adv AS a JOIN {_USERS3} AS u USING (empresa_id)",
+    "modelo": f"SELECT u.user_id, c.sku FROM cat AS c, (SELECT user_id FROM {_USERS3} UNION ALL SELECT 'nadie') AS u",
+    "modelo_punto_venta": f"SELECT u.user_id, b.sku || '@' || CAST(b.punto_venta_id AS VARCHAR) FROM bridge AS b, (SELECT user_id FROM {_USERS3} UNION ALL SELECT 'nadie') AS u",
+}
+
+
+@reg.query("j17_one_user", with_ctes(
+    "SELECT user_id, tabla, clave, count(*) AS filas FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS tabla, * FROM ({q}) AS z(user_id, clave)" for t, q in _VIEWS.items()) + ") AS y GROUP BY ALL", LOG))
+def one_user(spark, folder) -> DataFrame:
+    """All that a manager, an advisor and a user without tenant see, table by table, over tables partitioned by tenant."""
+    d = daily(spark, folder)
+    people = users(d).unionByName(spark.createDataFrame([("nadie", None, "asesor", None)], users(d).schema))
+    part = {n: tables.by_partition(t, n, "empresa_id") for n, t in {
+        "lead": d.leads.select("lead_id", *serving.CLIENT), "cliente": d.clients.select(*serving.CLIENT), "asignacion": two_days(d), "historico": d.history.select("lead_id", "empresa_id"),
+        "problema": d.quality_log.select("empresa_id", "registro_id", "tipo"), "score": d.scores.select("lead_id", "empresa_id")}.items()}
+    first = serving.latest_assignment(part["asignacion"]).agg(F.min("asesor_id")).first()[0]
+    out = []
+    for user in ("m1", f"a{first}", "nadie"):
+        me = serving.Scope(people, user)
+        leads = me.leads(part["asignacion"], part["lead"])
+        chats = me.inherited(d.chats.select(ID, "lead_id"), leads, ["lead_id"])
+        key = lambda *c: F.concat_ws("-", *(F.col(x).cast("string") for x in c))
+        seen = {
+            "cliente": me.clients(part["cliente"], part["asignacion"], part["lead"]).select(F.col("clave_dedup").alias("clave")), "lead": leads.select(key("lead_id")),
+            "mensaje": me.inherited(d.messages, chats, [ID]).select(key(ID, "orden")), "extraccion": me.inherited(d.extraction, chats, [ID]).select(key(ID)),
+            "score": me.inherited(part["score"], leads, ["lead_id", "empresa_id"]).select(key("lead_id")),
+            "asignacion": me.assignment(part["asignacion"]).select(F.concat_ws("/", F.col("fecha_corte").cast("date").cast("string"), F.col("lead_id").cast("string"))),
+            "historico_cierre": me.managers_only(part["historico"]).select(key("lead_id")), "problema_calidad": me.managers_only(part["problema"]).select(F.concat_ws("/", "registro_id", "tipo")),
+            "asesor": me.of_tenant(d.advisors).select(key("asesor_id")),
+            "modelo": d.catalogue.select("sku"), "modelo_punto_venta": d.availability.select(F.concat_ws("@", "sku", F.col("punto_venta_id").cast("string"))),
+        }
+        out += [df.toDF("clave").select(F.lit(user).alias("user_id"), F.lit(t).alias("tabla"), "clave") for t, df in seen.items()]
+    return quality.union_logs(*out).groupBy("user_id", "tabla", "clave").agg(F.count(F.lit(1)).alias("filas"))
+
+
 @reg.query("w6_latest_cutoff", with_ctes("SELECT empresa_id, max(fecha_corte) AS fecha_corte, count(*) AS filas FROM last_assigned GROUP BY empresa_id"))
 def latest_cutoff(spark, folder) -> DataFrame:
     return serving.latest_assignment(two_days(daily(spark, folder))).groupBy("empresa_id").agg(F.max("fecha_corte").alias("fecha_corte"), F.count(F.lit(1)).alias("filas"))

@@ -35,6 +35,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stage
 
 
+def by_partition(df: DataFrame, label: str, partition: str) -> DataFrame:
+    """A written stage with a folder for each value of a column, so that joins on it can leave folders unread."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.partitionBy(partition).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.written_at = path
+    return stage
+
+
 def discard(*stages: DataFrame) -> None:
     """Deletes written stages whose last reader is written itself, so nothing is left that could read them again."""
     for stage in stages:
