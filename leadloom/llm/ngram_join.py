@@ -24,7 +24,7 @@ from leadloom.llm.hashing import Sequences, mixed, word_hashes
 from leadloom.sources.tables import discard, materialize
 
 #: Words of a shingle; shingles in a group on average, at most; groups of a point, at least.
-WORDS, FILL, LEAST_GROUPS = 5, 4, 16
+WORDS, FILL, LEAST_GROUPS = 5, 4, 256
 #: Frequent shingles that are put last in the order of rarity; a shingle missing here costs time, not links.
 FREQUENT = 50_000
 #: A task reports shingles that so many documents of one step have.
