@@ -36,3 +36,8 @@ def two_proportions(s1: Column, n1: Column, s2: Column, n2: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; NULL when b is zero or NULL."""
     return a.cast("double") / F.when(b != 0, b.cast("double"))
+
+
+def uniform(key: Column) -> Column:
+    """A number between 0 and 1 that follows from a text alone."""
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadloom import fixed
-from leadloom.functions.stats import ratio, wilson
+from leadloom.functions.stats import ratio, uniform, wilson
 from leadloom.functions.text import client_template_key, match_key
+from leadloom.operators import regression
 from leadloom.operators.ranking import id_levels, with_rank
 from leadloom.sources.tables import materialize
 from leadloom.operators.scoring import hours_points, temperature
@@ -60,38 +60,58 @@ def bootstrap_ratio(df: DataFrame, replicates: int = fixed.BOOTSTRAP, seed: int
     """Percentile interval of the hot / cold ratio.
 
     Resampling a group of 0/1 outcomes with replacement only changes its number of successes, which
-    is binomial. The history reduces to four counts and each replicate draws two numbers, whatever
-    the number of rows.
+    is binomial. The history reduces to four counts; each replicate draws two numbers by the inverse of the
+    distribution from a hash of seed, replicate and group, so reruns and other engines agree.
     """
     hot, cold = F.col("temperatura") == fixed.HOT, F.col("temperatura") == fixed.COLD
-    counts = df.agg(
-        F.count_if(hot).alias("n_c"), F.coalesce(F.sum(F.when(hot, F.col("cerrado"))), F.lit(0)).alias("x_c"),
-        F.count_if(cold).alias("n_f"), F.coalesce(F.sum(F.when(cold, F.col("cerrado"))), F.lit(0)).alias("x_f"))
-
-    @F.pandas_udf(T.DoubleType())
-    def draw(rep: pd.Series, n_c: pd.Series, x_c: pd.Series, n_f: pd.Series, x_f: pd.Series) -> pd.Series:
-        out = []
-        for r, nc, xc, nf, xf in zip(rep, n_c, x_c, n_f, x_f):
-            rng = np.random.default_rng([seed, int(r)])
-            a, b = (rng.binomial(nc, xc / nc) / nc if nc else np.nan), (rng.binomial(nf, xf / nf) / nf if nf else np.nan)
-            out.append(a / b if b > 0 else None)
-        return pd.Series(out, dtype="float64")
-
-    reps = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).repartition(8, "rep")
-    ratios = reps.select(draw("rep", "n_c", "x_c", "n_f", "x_f").alias("razon")).filter(F.col("razon").isNotNull() & ~F.isnan("razon"))
+    group = F.when(hot, "caliente").when(cold, "frio")
+    counts = df.filter(hot | cold).groupBy(group.alias("grupo")).agg(F.count(F.lit(1)).alias("n"), F.sum("cerrado").alias("x"))
+    draws = counts.select("grupo", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    draws = draws.withColumn("u", uniform(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), "grupo")))
+    drawn = inverse_draws(draws, binomial_table(counts), ["grupo"])
+    rate = lambda name: F.max(F.when(F.col("grupo") == name, F.col("k") / F.col("n")))
+    ratios = drawn.groupBy("rep").agg(rate("caliente").alias("a"), rate("frio").alias("b")).filter("b > 0").select((F.col("a") / F.col("b")).alias("razon"))
+    ratios = ratios.filter(F.col("razon").isNotNull())
     return ratios.agg(F.percentile("razon", F.lit(0.025)).alias("bajo"), F.percentile("razon", F.lit(0.975)).alias("alto"), F.count(F.lit(1)).alias("replicas"))
 
 
-def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve with ties counted half, per group.
+def binomial_table(counts: DataFrame) -> DataFrame:
+    """grupo, k, hasta: the distribution of x successes in n resampled, over nine standard deviations on both sides (beyond
+    lies less than 1e-17). The table grows with the root of n. A sure outcome is one row."""
+    n, x = F.col("n").cast("double"), F.col("x").cast("double")
+    reach = F.ceil(9 * F.sqrt(x * (1 - x / n)) + 9)
+    sure = (F.col("x") == 0) | (F.col("x") == F.col("n"))
+    low = F.when(sure, F.col("x")).otherwise(F.greatest(F.lit(0), F.col("x") - reach)).cast("long")
+    high = F.when(sure, F.col("x")).otherwise(F.least(F.col("n"), F.col("x") + reach)).cast("long")
+    k = counts.select("grupo", "n", "x", low.alias("desde"), F.explode(F.sequence(low, high)).alias("k"))
+    step = F.when(F.col("k") == F.col("desde"), 0.0).otherwise(F.ln((n - F.col("k") + 1) / F.col("k") * (x / (n - x))))
+    order = Window.partitionBy("grupo").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    logs = k.withColumn("l", F.sum(step).over(order))
+    mass = logs.withColumn("m", F.exp(F.col("l") - F.max("l").over(Window.partitionBy("grupo"))))
+    return mass.select("grupo", "k", (F.sum("m").over(order) / F.sum("m").over(Window.partitionBy("grupo"))).alias("hasta"))
+
+
+def inverse_draws(draws: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds k, the least value of the distribution table whose cumulated share exceeds u. Draws and table are sorted together."""
+    both = draws.unionByName(table.select(*keys, "k", F.col("hasta").alias("u")), allowMissingColumns=True)
+    # Of the table rows above a draw the next one, in falling order the last seen; a table row of the same share does not exceed it.
+    order = Window.partitionBy(*keys).orderBy(F.desc("u"), F.col("k").isNotNull(), F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("siguiente", F.last("k", ignorenulls=True).over(order))
+    most = table.groupBy(*keys).agg(F.max("k").alias("mayor"))
+    return found.filter(F.col("k").isNull()).drop("k").join(most, keys).select(*draws.columns, F.coalesce("siguiente", "mayor").alias("k"))
+
+
+def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Area under the ROC curve with ties counted half, per group. With `weight` a row stands for so many.
 
     Rows collapse to counts per score value; cumulative counts run over whole points of score, over
     blocks inside a point, and over values inside a block, so no step holds all values of a group.
     """
     group = group or []
+    times = F.lit(1) if weight is None else F.col(weight).cast("long")
     block = F.floor(F.col(score).cast("double") * 4096).cast("long")
     values = df.groupBy(*group, F.col(score).alias("v"), block.alias("b")).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+        F.sum(F.col(label).cast("long") * times).alias("pos"), F.sum((1 - F.col(label).cast("long")) * times).alias("neg"))
     point = F.shiftright("b", 12)
     earlier = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = values.groupBy(*group, point.alias("p"), "b").agg(F.sum("neg").alias("n"))
@@ -103,59 +123,40 @@ def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -
     return ranked.groupBy(*group).agg(ratio(wins, F.sum("pos") * F.sum("neg")).alias("auc"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
 
-def _fit(df: DataFrame, features: list[str], label: str = "cerrado"):
-    """Logistic regression with unit inverse penalty. Rows with the same features and label collapse
-    into one weighted row first, which leaves the loss the same; with a continuous feature (the price)
-    few rows collapse and the fit is distributed over all of them."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    grouped = df.groupBy(*features, label).agg(F.count(F.lit(1)).cast("double").alias("peso"))
-    total = grouped.agg(F.sum("peso")).collect()[0][0]
-    assembler = VectorAssembler(inputCols=features, outputCol="x")
-    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="peso", standardization=False, regParam=1.0 / total, maxIter=200, tol=1e-9).fit(assembler.transform(grouped))
-    return assembler, model
-
-
-def _predict(df: DataFrame, fitted) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    assembler, model = fitted
-    return model.transform(assembler.transform(df)).withColumn("proba", vector_to_array("probability")[1])
+def _grouped(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows with their number: the loss of a regression stays the same, and few rows are left of columns with few values."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("peso"))
 
 
 def trained_weights_auc(df: DataFrame) -> DataFrame:
     """Test AUC of weights learned on the train window from the four quality signals."""
     features = [f"s_{n}" for n in fixed.POINTS]
-    fitted = _fit(df.filter(~F.col("prueba")), features)
-    return auc(_predict(df.filter("prueba"), fitted), "proba", "cerrado")
+    fitted = regression.fit(_grouped(df.filter(~F.col("prueba")), *features, "cerrado"), features, "cerrado", {"m": F.lit(True)})
+    return auc(df.filter("prueba").withColumn("proba", regression.probability(features, fitted["m"])), "proba", "cerrado")
 
 
 def attribute_regression(df: DataFrame, folds: int = 5) -> DataFrame:
     """AUC of a regression on channel, down-payment, payment, appointment and price: cross-validated,
-    temporal and in sample. Folds are the rank inside each class modulo the number of folds."""
+    temporal and in sample. Folds are the rank inside each class modulo the number of folds; all fits
+    step together."""
     base = df.withColumns({
         "x_meta": (F.col("canal") == "Meta Ads").cast("double"), "x_whatsapp": (F.col("canal") == "WhatsApp").cast("double"),
         "x_cuota_si": (F.col("manifesto_cuota_inicial") == "SI").cast("double"), "x_cuota_ni": (F.col("manifesto_cuota_inicial") == "NO_INFORMA").cast("double"),
         "x_credito": (F.col("forma_pago_declarada") == "credito").cast("double"), "x_pago_ni": (F.col("forma_pago_declarada") == "no_informa").cast("double"),
         "x_cita": F.col("pidio_cita").cast("double"), "x_precio": F.col("precio_lista") / F.lit(1_000_000.0)})
     features = [c for c in base.columns if c.startswith("x_")]
+    base = base.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in features})
     ranked = with_rank(base, ["cerrado"], [("lead_id", True)], id_levels(base, "lead_id"), "r").withColumn("pliegue", F.col("r") % folds)
-    # Five fits and predictions read the folds, which are written once.
-    ranked = materialize(ranked.select(*features, "cerrado", "prueba", "pliegue"), "folds")
-    base = ranked
-    held = None
-    for k in range(folds):
-        part = _predict(ranked.filter(F.col("pliegue") == k), _fit(ranked.filter(F.col("pliegue") != k), features)).select("proba", "cerrado")
-        held = part if held is None else held.unionByName(part)
-    temporal = _predict(base.filter("prueba"), _fit(base.filter(~F.col("prueba")), features))
-    sample = _predict(base, _fit(base, features))
-    parts = {"validacion_cruzada": held, "temporal": temporal, "en_muestra": sample}
-    out = None
-    for name, rows in parts.items():
-        one = auc(rows.select("proba", "cerrado"), "proba", "cerrado").withColumn("evaluacion", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = materialize(_grouped(ranked, *features, "cerrado", "prueba", "pliegue"), "folds")
+    sets = {f"f{k}": F.col("pliegue") != k for k in range(folds)} | {"temporal": ~F.col("prueba"), "todo": F.lit(True)}
+    fitted = regression.fit(rows, features, "cerrado", sets)
+    of = lambda name: regression.probability(features, fitted[name])
+    held = reduce(lambda rest, k: F.when(F.col("pliegue") == k, of(f"f{k}")).otherwise(rest), range(folds), F.lit(None).cast("double"))
+    judged = F.explode(F.array(
+        F.struct(F.lit("validacion_cruzada").alias("evaluacion"), held.alias("proba")), F.struct(F.lit("temporal").alias("evaluacion"), F.when(F.col("prueba"), of("temporal")).alias("proba")),
+        F.struct(F.lit("en_muestra").alias("evaluacion"), of("todo").alias("proba"))))
+    scored = rows.select("cerrado", "peso", judged.alias("j")).select("cerrado", "peso", "j.*").filter(F.col("proba").isNotNull())
+    return auc(scored, "proba", "cerrado", ["evaluacion"], weight="peso").select("auc", "n", "evaluacion")
 
 
 def state_table(df: DataFrame) -> DataFrame:

@@ -85,9 +85,20 @@ def hot_cold(spark, folder) -> DataFrame:
     return rounded(ev.hot_cold_ratio(prepared(daily(spark, folder)).filter("prueba")), "caliente", "frio", "razon")
 
 
-@reg.query("e6_bootstrap_interval")
+BOOTSTRAP = {
+    "boot_n": (f"SELECT CASE temperatura WHEN '{fixed.HOT}' THEN 'caliente' ELSE 'frio' END AS grupo, count(*)::DOUBLE AS n, sum(cerrado)::DOUBLE AS x FROM prep WHERE prueba AND temperatura IN ('{fixed.HOT}', '{fixed.COLD}') GROUP BY 1", ("prep",)),
+    "boot_k": ("SELECT grupo, n, x, unnest(CASE WHEN x = 0 OR x = n THEN [x::BIGINT] ELSE range(greatest(0, x - ceil(9 * sqrt(x * (1 - x / n)) + 9))::BIGINT, least(n, x + ceil(9 * sqrt(x * (1 - x / n)) + 9))::BIGINT + 1) END) AS k FROM boot_n", ("boot_n",)),
+    "boot_log": ("SELECT grupo, k, sum(CASE WHEN k = k0 THEN 0.0 ELSE ln((n - k + 1) / k * (x / (n - x))) END) OVER (PARTITION BY grupo ORDER BY k) AS l FROM (SELECT *, min(k) OVER (PARTITION BY grupo) AS k0 FROM boot_k) AS q", ("boot_k",)),
+    "boot_cdf": ("SELECT grupo, k, sum(m) OVER (PARTITION BY grupo ORDER BY k) / sum(m) OVER (PARTITION BY grupo) AS hasta FROM (SELECT grupo, k, exp(l - max(l) OVER (PARTITION BY grupo)) AS m FROM boot_log) AS q", ("boot_log",)),
+    "boot_u": (f"SELECT grupo, n, rep, (CAST('0x' || substr(md5('2026:' || rep || ':' || grupo), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM boot_n, range(1, {fixed.BOOTSTRAP + 1}) AS r(rep)", ("boot_n",)),
+    "boot_rate": ("SELECT d.grupo, d.rep, coalesce(min(c.k), (SELECT max(k) FROM boot_cdf AS z WHERE z.grupo = d.grupo)) / any_value(d.n) AS tasa FROM boot_u AS d LEFT JOIN boot_cdf AS c ON c.grupo = d.grupo AND c.hasta > d.u GROUP BY d.grupo, d.rep", ("boot_u", "boot_cdf")),
+}
+
+
+@reg.query("e6_bootstrap_interval", with_ctes(
+    "SELECT round(quantile_cont(razon, 0.025), 9) AS bajo, round(quantile_cont(razon, 0.975), 9) AS alto, count(*) AS replicas FROM (SELECT a.tasa / b.tasa AS razon FROM boot_rate AS a JOIN boot_rate AS b USING (rep) WHERE a.grupo = 'caliente' AND b.grupo = 'frio' AND b.tasa > 0) AS q", BOOTSTRAP))
 def bootstrap(spark, folder) -> DataFrame:
-    return ev.bootstrap_ratio(prepared(daily(spark, folder)).filter("prueba"))
+    return rounded(ev.bootstrap_ratio(prepared(daily(spark, folder)).filter("prueba")), "bajo", "alto")
 
 
 @reg.query("e7_auc", with_ctes(
