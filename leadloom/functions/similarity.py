@@ -37,22 +37,30 @@ def _lcs_bits(short: Column, long: Column) -> Column:
     return size - F.bit_count(rest).cast("int")
 
 
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """Row-by-row length for texts beyond 62 characters."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def _lcs_words(short: Column, long: Column) -> Column:
+    """The same for any length: the bits of `short` lie in several words, and a sum hands its carry to the next one."""
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(short) - 1) / F.lit(_BITS)).cast("int")), lambda i: F.slice(short, i * _BITS + 1, F.lit(_BITS)))
+    full = F.transform(words, lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda acc, _: acc * 2 + 1))
 
-    def row(previous: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            left = F.coalesce(F.get(acc, j - 1), F.lit(0))
-            above = F.get(previous, j)
-            corner = F.coalesce(F.get(previous, j - 1), F.lit(0))
-            value = F.when(F.get(b, j) == x, corner + 1).otherwise(F.greatest(left, above))
-            return F.concat(acc, F.array(value))
+    def masks(letter: Column) -> Column:
+        """Places of a letter, word by word; the last letter of a word has its highest bit."""
+        return F.transform(words, lambda w: F.aggregate(F.reverse(w), F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x == letter, 1).otherwise(0)))
 
-        positions = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(positions, F.array().cast("array<int>"), cell)
+    def step(v: Column, m: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("v"), F.lit(0).cast("long").alias("carry"))
+
+        def word(s: Column, x: Column) -> Column:
+            both = x["v"].bitwiseAND(x["m"])
+            total = x["v"] + both + s["carry"]
+            return F.struct(
+                F.concat(s["v"], F.array(total.bitwiseOR(x["v"] - both).bitwiseAND(x["full"]))).alias("v"),
+                F.when(total > (1 << _BITS) - 1, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")).alias("carry"))
+
+        together = F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.struct(F.get(v, i).alias("v"), F.get(m, i).alias("m"), F.get(full, i).alias("full")))
+        return F.aggregate(together, start, word, lambda s: s["v"])
 
-    return F.coalesce(F.try_element_at(F.aggregate(a, zero, row), F.lit(-1)), F.lit(0))
+    rest = F.aggregate(F.transform(long, masks), full, step)
+    return F.size(short) - F.aggregate(rest, F.lit(0), lambda n, v: n + F.bit_count(v).cast("int"))
 
 
 def lcs(a: Column, b: Column) -> Column:
@@ -63,7 +71,7 @@ def lcs(a: Column, b: Column) -> Column:
     return (
         F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0))
         .when(F.size(shorter) <= _BITS, _lcs_bits(shorter, longer))
-        .otherwise(_lcs_rows(x, y))
+        .otherwise(_lcs_words(shorter, longer))
     )
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom.functions import similarity
 from leadloom.operators import evaluation, regression
 
 
@@ -60,3 +61,21 @@ def test_weighted_auc(spark):
     wins = sum((a > b) + (a == b) / 2 for a, y in whole if y for b, z in whole if not z)
     df = spark.createDataFrame(rows, "s double, y int, w int")
     assert evaluation.auc(df, "s", "y", weight="w").collect()[0].auc == pytest.approx(wins / (7 * 4))
+
+
+def test_subsequence_of_texts_of_any_length(spark):
+    rnd = random.Random(2)
+    word = lambda sizes: "".join(rnd.choice("abcdé ") for _ in range(rnd.choice(sizes)))
+    rows = [(word([0, 5, 61, 62, 63, 90, 124, 125, 200]), word([0, 3, 62, 63, 70, 130, 186, 187])) for _ in range(60)] + [("a" * 130, "a" * 190), ("a" * 63, "b" * 70)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity.lcs(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == plain(r.a, r.b)
