@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,46 @@ def missing_columns(df: DataFrame, required) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files as text: `archivo`, `cabecera` (first record of its file), `registro`.
+
+    Files are read as lines by as many tasks as they have splits. A line begins a record if an even number of quotes
+    stands before it in its file: quotes are added up by split, then by line inside a split. Lines that are records by themselves pass as
+    they are; only those of records with line breaks are gathered, also across splits.
+    """
+    place = [F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("tramo")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("linea"), "value", F.regexp_count("value", F.lit('"')).alias("comillas"))
+    totals = lines.groupBy("archivo", "tramo").agg(F.sum("comillas").alias("comillas"))
+    earlier = F.coalesce(F.sum("comillas").over(Window.partitionBy("archivo").orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("archivo", "tramo", earlier.alias("antes"))
+    inside = Window.partitionBy("archivo", "tramo").orderBy("linea")
+    seen = lines.join(totals, ["archivo", "tramo"]).withColumn("antes", F.col("antes") + F.coalesce(F.sum("comillas").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    begins = F.col("antes") % 2 == 0
+    seen = seen.withColumns({"empieza": begins, "n": F.sum(begins.cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    alone = F.col("empieza") & (F.col("comillas") % 2 == 0)
+    single = seen.filter(alone).select("archivo", ((F.col("tramo") == 0) & (F.col("n") == 1)).alias("cabecera"), F.col("value").alias("registro"))
+    torn = seen.filter(~alone)
+    # Lines before the first beginning of a split go on with the last record of the nearest split that has one.
+    last = torn.filter("n > 0").groupBy("archivo", "tramo").agg(F.max("n").alias("ultimo"))
+    heads = torn.filter("n = 0").select("archivo", "tramo").distinct()
+    back = Window.partitionBy("archivo").orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)
+    owner = last.unionByName(heads, allowMissingColumns=True).groupBy("archivo", "tramo").agg(F.max("ultimo").alias("ultimo"))
+    owner = owner.withColumn("de", F.last(F.when(F.col("ultimo").isNotNull(), F.struct("tramo", "ultimo")), ignorenulls=True).over(back)).select("archivo", "tramo", "de")
+    placed = torn.join(owner, ["archivo", "tramo"], "left").withColumn("de", F.when(F.col("n") > 0, F.struct("tramo", F.col("n").alias("ultimo"))).otherwise(F.col("de")))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tramo", "linea", "value"))), lambda x: x["value"]), "\n")
+    joined = placed.groupBy("archivo", "de").agg(text_.alias("registro")).select("archivo", ((F.col("de.tramo") == 0) & (F.col("de.ultimo") == 1)).alias("cabecera"), "registro")
+    return single.unionByName(joined)
+
+
 def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
     """CSV with header; every column is text, blanks are NULL, missing columns fail by name. Quoted
-    fields may hold line breaks, so a file is read by one task."""
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", multiLine=True, escape='"')
-    missing = missing_columns(df, fixed.REQUIRED[name])
-    if missing:
+    fields may hold line breaks; a file is still read by many tasks (see `csv_records`). The header is one line."""
+    names = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", escape='"').columns
+    if missing := sorted(set(fixed.REQUIRED[name]) - set(names)):
         raise ValueError(f"{name}: missing columns {missing}")
+    record = F.regexp_replace("registro", "\\r$", "")
+    rows = csv_records(spark, path).filter(~F.col("cabecera")).select(record.alias("r")).filter("r <> ''")
+    df = rows.select(F.from_csv("r", ", ".join(f"`{n}` string" for n in names), {"escape": '"', "mode": "PERMISSIVE"}).alias("c")).select("c.*")
     return df.select(*(F.when(~is_blank(F.col(c)), F.col(c)).alias(c) for c in df.columns))
 
 
