@@ -20,8 +20,8 @@ from leadloom.llm.common import STEP_CHARS, held_out, steps
 PAIRS, TRIPLES = 2048, 2048
 #: Texts of one step, so that its counters stay small.
 STEP_ROWS = 512
-#: The fit: documents in the sample, at most, expected; languages learned at most (the most frequent).
-SAMPLE, LANGUAGES = 1200, 500
+#: The fit: expected documents in the sample, and for each language where they are many.
+SAMPLE, EACH = 1200, 3
 RIDGE, AMBIGUOUS = 1e-3, 0.1
 UNKNOWN = "und"
 
@@ -94,7 +94,8 @@ class LanguageModel:
         shares = np.exp(-8.0 * (loss - loss.min(1, keepdims=True)))
         nearest = np.sort(loss, 1)
         unclear = nearest[:, 1] - nearest[:, 0] < AMBIGUOUS if loss.shape[1] > 1 else np.zeros(len(x), bool)
-        return best, shares[np.arange(len(x)), best] / shares.sum(1), unclear
+        # Rounded, because the last digits of a product follow the number of texts multiplied together.
+        return best, np.round(shares[np.arange(len(x)), best] / shares.sum(1), 6), unclear
 
 
 def fit(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
@@ -113,15 +114,16 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
 
 
 def _sample(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of about `sample` documents, as many of each language as there are; chosen by
-    a hash of the id and brought to the driver as n-gram counts."""
+    """Features and languages of about `sample` documents, or EACH for a language if those are more; chosen by a hash of
+    the id and brought to the driver as n-gram counts. Of every language, however rare, at least one is chosen."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).orderBy("lang").collect()
     if not counts:
         return np.zeros((0, PAIRS + TRIPLES), np.float32), []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample / len(counts) / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.filter(drawn < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    each = max(sample / len(counts), EACH)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], max(min(1.0, each / r["n"]), r["least"]))])
+    chosen = known.filter(drawn <= F.try_element_at(share, F.col("lang")))
 
     def counted(batches):
         for batch in batches:
@@ -141,8 +143,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per input row: doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
 
     The classifiers learn from a sample of about `sample` rows that are not held out and have text and
-    language, balanced over languages and drawn by a hash of the id; every row is predicted from its whole
-    text. Null text, a text without letters, or no row to learn from: `und` with score 0. Ties between
+    language (EACH for a language where that is more), balanced over languages and drawn by a hash of the id; every
+    language is learned, and every row is predicted from its whole text. Null text, a text without letters, or no row to learn from: `und` with score 0. Ties between
     codewords: the first language by name. Repeated rows and null ids (held out): a row each. Empty table:
     no rows. Other columns are not read.
     """

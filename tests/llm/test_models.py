@@ -136,3 +136,33 @@ def test_an_even_mixture_is_ambiguous():
     mixed = [" ".join(sum(([rnd.choice(LANGS["en"]), rnd.choice(LANGS["de"])] for _ in range(30)), []))]
     margins = [np.diff(np.sort(model.losses(language_id.features([t.encode()]))[0])[:2])[0] for t in clear + mixed]
     assert margins[-1] < min(margins[:-1])
+
+
+def test_decoding_by_a_loop_over_all_codewords():
+    """The nearest codeword, its share and the flag, computed word by word and bit by bit."""
+    rng = np.random.default_rng(5)
+    names = [f"l{k}" for k in range(9)]
+    x = rng.normal(size=(60, language_id.PAIRS + language_id.TRIPLES)).astype(np.float32) / 60
+    langs = [names[i % 9] for i in range(60)]
+    for i, v in enumerate(langs):
+        x[i, names.index(v) * 7: names.index(v) * 7 + 5] += 0.2
+    model = language_id.fit(x, langs)
+    best, share, unclear = model.decode(x)
+    for i in range(60):
+        losses = []
+        for word in model.code:
+            total = 0.0
+            for b, bit in enumerate(word):
+                margin = 3.0 * (float(x[i].astype(np.float64) @ model.weights[:, b]) + model.bias[b])
+                total += model.trust[b] * np.log1p(np.exp(-margin * bit))
+            losses.append(total / model.trust.sum())
+        order = np.argsort(losses)
+        assert best[i] == order[0] and unclear[i] == (losses[order[1]] - losses[order[0]] < language_id.AMBIGUOUS)
+        assert abs(share[i] - 1 / sum(np.exp(-8 * (v - losses[order[0]])) for v in losses)) < 1e-3
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has places: a rare one is learned too."""
+    rows = [(i, f"word{i % 40} text of language {i % 40} " * 5, f"l{i % 40:02d}") for i in range(2000)] + [(5001, "zzz xyxy qqq " * 9, "rare"), (5002, "zzz xyxy qqq " * 9, "rare"), (5003, "zzz xyxy qqq " * 9, "rare")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20).filter("doc_id > 5000").collect()
+    assert {r.lang_pred for r in got} == {"rare"}
