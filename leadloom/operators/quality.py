@@ -65,6 +65,29 @@ def violations(df: DataFrame, table: str, key: str, checks: dict[str, Column]) -
     return df.select(F.lit(table).alias("tabla"), F.col(key).cast("string").alias("clave"), F.explode(broken).alias("regla"))
 
 
+def domain_rules() -> dict[str, tuple[str, dict[str, Column]]]:
+    """What stored tables promise: table -> (key, rule -> condition that must not be false)."""
+    c = F.col
+    precision = ("minuto", "dia")
+    return {
+        "lead": ("lead_id", {
+            "canal": c("canal").isNotNull() & c("canal").isin(*fixed.CHANNELS.values()), "estado": c("estado_gestion").isNotNull() & c("estado_gestion").isin(*fixed.STATES.values()),
+            "precision_registro": c("fecha_registro_precision").isin(*precision), "precision_contacto": c("fecha_contacto_precision").isin(*precision)}),
+        "extraccion": ("conversacion_id", {
+            "mencion": c("menciona_cuota").isin("SI", "NO", "NO_INFORMA"), "pago": c("forma_pago").isin("contado", "credito", "no_informa"), "intencion": c("intencion").isin("alta", "media", "baja"),
+            "objecion": c("objecion").isin(*fixed.OBJECTIONS, "ninguna")}),
+        "mensaje": ("conversacion_id", {"emisor": c("emisor").isin("cliente", "asesor")}),
+        "asesor": ("asesor_id", {"capacidad": c("capacidad_diaria") > 0}),
+        "asignacion": ("lead_id", {"estado": c("estado").isin("asignado", "sin_cupo"), "con_asesor": (c("estado") == "asignado") == c("asesor_id").isNotNull()}),
+    }
+
+
+def domain_violations(df: DataFrame, table: str) -> DataFrame:
+    """Rows of a table that break one of its domain rules."""
+    key, checks = domain_rules()[table]
+    return violations(df, table, key, checks)
+
+
 def dangling(df: DataFrame, table: str, key: str, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose non-null reference has no parent row."""
     keys = parent.select(F.col(parent_key).alias(column)).distinct()

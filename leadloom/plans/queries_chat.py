@@ -121,6 +121,33 @@ def unknown_fields(spark, folder) -> DataFrame:
     return df.select(ID, "cuota_inicial_cop", "menciona_cuota", "forma_pago", "objecion", "pidio_cita", "cliente_respondio", "intencion")
 
 
+def _all_bad():
+    """Every field that can fall, by the chat number."""
+    every = (("modelo_texto", 8), ("cuota_inicial_cop", 11), ("menciona_cuota", 13), ("forma_pago", 4), ("intencion", 6), ("objecion", 5), ("pidio_cita", 2), ("pidio_cotizacion", 9), ("cliente_respondio", 7))
+    return F.filter(F.array(*(F.when(F.col(ID) % k == 0, n) for n, k in every)), lambda x: x.isNotNull())
+
+
+_BAD_LIST = "list_filter([" + ", ".join(f"CASE WHEN conversacion_id % {k} = 0 THEN '{n}' END" for n, k in (
+    ("modelo_texto", 8), ("cuota_inicial_cop", 11), ("menciona_cuota", 13), ("forma_pago", 4), ("intencion", 6), ("objecion", 5), ("pidio_cita", 2), ("pidio_cotizacion", 9), ("cliente_respondio", 7))) + "], lambda x: x IS NOT NULL)"
+
+
+@reg.query("x12_every_field", with_ctes(
+    "SELECT conversacion_id, CASE WHEN conversacion_id % 8 <> 0 THEN modelo_texto END AS modelo_texto, CASE WHEN conversacion_id % 11 <> 0 AND conversacion_id % 13 <> 0 THEN cuota_inicial_cop END AS cuota_inicial_cop, "
+    "CASE WHEN conversacion_id % 11 = 0 OR conversacion_id % 13 = 0 THEN 'NO_INFORMA' ELSE menciona_cuota END AS menciona_cuota, CASE WHEN conversacion_id % 4 = 0 THEN 'no_informa' ELSE forma_pago END AS forma_pago, "
+    "CASE WHEN conversacion_id % 6 = 0 THEN 'media' ELSE intencion END AS intencion, CASE WHEN conversacion_id % 5 = 0 THEN 'ninguna' ELSE objecion END AS objecion, CASE WHEN conversacion_id % 2 = 0 THEN false ELSE pidio_cita END AS pidio_cita, "
+    "CASE WHEN conversacion_id % 9 = 0 THEN false ELSE pidio_cotizacion END AS pidio_cotizacion, CASE WHEN conversacion_id % 7 = 0 THEN true ELSE cliente_respondio END AS cliente_respondio FROM ext"))
+def every_field(spark, folder) -> DataFrame:
+    return extraction.as_unknown(daily(spark, folder).extraction, _all_bad()).select(ID, *extraction.FIELDS)
+
+
+@reg.query("a6_unsupported_fields", with_ctes(
+    f"SELECT lead_id, empresa_id, coalesce(string_agg(DISTINCT campo, ',' ORDER BY campo), '') AS sin_respaldo FROM (SELECT lead_id, empresa_id, unnest(CASE WHEN len(malos) = 0 THEN [NULL] ELSE malos END) AS campo FROM (SELECT *, {_BAD_LIST} AS malos FROM placed) AS q) AS z GROUP BY 1, 2"))
+def unsupported_fields(spark, folder) -> DataFrame:
+    """Fields without support of any chat of a lead, over the chats on principal leads."""
+    found = consolidate.consolidate(daily(spark, folder).placed.withColumn("sin_respaldo", _all_bad()))
+    return found.select("lead_id", "empresa_id", F.array_join("sin_respaldo", ",").alias("sin_respaldo"))
+
+
 # Claimed quotes, whole messages of every chat: the client's own words, words of the advisor, words with
 # a slip, a quote that the advisor may give, and one that crosses two messages of the client.
 CLAIMS = (
@@ -325,6 +352,25 @@ def quality_log(spark, folder) -> DataFrame:
     return daily(spark, folder).build("quality_log").groupBy("empresa_id", "registro_id", "tipo").agg(F.count(F.lit(1)).alias("veces"))
 
 
+_ENTRY = "archivo, registro_id, campo, tipo, valor_original, accion, empresa_id"
+ENTRIES = {"full_log": (
+    "SELECT 'leads.csv' AS archivo, CAST(lead_id AS VARCHAR) AS registro_id, p.campo AS campo, p.tipo AS tipo, p.valor AS valor_original, p.accion AS accion, empresa_id FROM log_std "
+    "UNION ALL SELECT 'leads.csv', CAST(lead_id AS VARCHAR), 'modelo_interes_texto', regla, modelo_texto_original, CASE regla WHEN 'modelo_ambiguo' THEN 'solo marca ' || marca_interes WHEN 'modelo_faltante' THEN 'sin modelo' ELSE 'sin SKU ni marca' END, empresa_id "
+    "FROM matched WHERE regla IN ('modelo_ambiguo', 'modelo_faltante', 'sin_coincidencia') "
+    "UNION ALL SELECT 'leads.csv', CAST(k.lead_id AS VARCHAR), 'nombre_cliente', 'posible_colision_telefono', k.nombre, 'similitud ' || CAST(CAST(round_even(s.similitud, 0) AS INT) AS VARCHAR) || '; se conserva el grupo', k.empresa_id FROM keyed AS k JOIN sim AS s USING (empresa_id, clave_dedup) WHERE s.similitud < 60 "
+    "UNION ALL SELECT 'conversaciones.json', CAST(conversacion_id AS VARCHAR), 'lead_id', 'conversacion_huerfana', CAST(lead_id AS VARCHAR), 'se carga sin empresa', NULL FROM chats WHERE lead_id NOT IN (SELECT lead_id FROM std) "
+    "UNION ALL SELECT 'leads.csv', CAST(c.lead_id AS VARCHAR), 'fecha_registro', 'conversacion_antes_de_registro', CAST(c.conversacion_id AS VARCHAR), 'bandera', s.empresa_id FROM chats AS c JOIN std AS s USING (lead_id) WHERE CAST(c.inicio AS DATE) < CAST(s.fecha_registro AS DATE) "
+    "UNION ALL SELECT 'conversaciones.json', CAST(c.conversacion_id AS VARCHAR), 'cuota_inicial_cop', nota, CAST(c.cuota_original AS VARCHAR), 'valor corregido por la validación', s.empresa_id FROM checked AS c JOIN chats USING (conversacion_id) LEFT JOIN std AS s ON s.lead_id = chats.lead_id WHERE nota IS NOT NULL "
+    "UNION ALL SELECT 'conversaciones.json', CAST(c.conversacion_id AS VARCHAR), 'cuota_inicial_cop', 'menciona_cuota_incoherente', CAST(c.cuota_original AS VARCHAR), 'valor corregido por la validación', s.empresa_id FROM valid AS c JOIN chats USING (conversacion_id) LEFT JOIN std AS s ON s.lead_id = chats.lead_id "
+    "WHERE cuota_inicial_cop IS NOT NULL AND mencion_original <> CASE WHEN cuota_inicial_cop > 0 THEN 'SI' ELSE 'NO' END", ("log_std", "matched", "keyed", "sim", "chats", "std", "checked", "valid"))}
+
+
+@reg.query("q1_log_entries", with_ctes(f"SELECT {_ENTRY}, count(*) AS veces FROM full_log GROUP BY ALL", ENTRIES))
+def log_entries(spark, folder) -> DataFrame:
+    """Every entry of the log with its field, original value and action."""
+    return daily(spark, folder).quality_log.groupBy(*_ENTRY.split(", ")).agg(F.count(F.lit(1)).alias("veces"))
+
+
 @reg.query("q2_counts_by_type", with_ctes("SELECT tipo, count(*) AS casos FROM all_log GROUP BY ALL", LOG))
 def counts_by_type(spark, folder) -> DataFrame:
     return quality.counts_by_type(daily(spark, folder).quality_log)

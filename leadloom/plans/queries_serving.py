@@ -267,6 +267,29 @@ def violations(spark, folder) -> DataFrame:
     return quality.union_logs(*checks)
 
 
+@reg.query("q4_domain_rules", with_ctes(
+    "SELECT 'lead' AS tabla, CAST(lead_id AS VARCHAR) AS clave, 'precision_registro' AS regla FROM std WHERE lead_id % 7 = 0 AND fecha_registro_precision IS NOT NULL UNION ALL SELECT 'lead', CAST(lead_id AS VARCHAR), 'precision_contacto' FROM std WHERE lead_id % 11 = 0 AND fecha_contacto_precision IS NOT NULL "
+    "UNION ALL SELECT 'lead', CAST(lead_id AS VARCHAR), 'canal' FROM std WHERE lead_id % 13 = 0 UNION ALL SELECT 'lead', CAST(lead_id AS VARCHAR), 'punto_venta_id_sin_padre' FROM std WHERE lead_id % 10 = 0 AND punto_venta_id IS NOT NULL "
+    "UNION ALL SELECT 'extraccion', CAST(conversacion_id AS VARCHAR), 'pago' FROM ext WHERE conversacion_id % 4 = 0 UNION ALL SELECT 'extraccion', CAST(conversacion_id AS VARCHAR), 'mencion' FROM ext WHERE conversacion_id % 5 = 0 "
+    "UNION ALL SELECT 'extraccion', CAST(conversacion_id AS VARCHAR), 'intencion' FROM ext WHERE intencion = 'media' UNION ALL SELECT 'extraccion', CAST(conversacion_id AS VARCHAR), 'objecion' FROM ext WHERE objecion = 'precio' "
+    "UNION ALL SELECT 'asignacion', CAST(lead_id AS VARCHAR), 'con_asesor' FROM assigned WHERE estado = 'sin_cupo'"))
+def domain_rules(spark, folder) -> DataFrame:
+    """The rules of stored leads, extractions and assignments, over rows broken on purpose, and points of sale that do not exist."""
+    d, c = daily(spark, folder), F.col
+    leads = d.clean_leads.withColumns({
+        "fecha_registro_precision": F.when((c("lead_id") % 7 == 0) & c("fecha_registro_precision").isNotNull(), "hora").otherwise(c("fecha_registro_precision")),
+        "fecha_contacto_precision": F.when((c("lead_id") % 11 == 0) & c("fecha_contacto_precision").isNotNull(), "mes").otherwise(c("fecha_contacto_precision")),
+        "canal": F.when(c("lead_id") % 13 == 0, None).otherwise(c("canal"))})
+    extractions = d.extraction.withColumns({
+        "forma_pago": F.when(c(ID) % 4 == 0, "fiado").otherwise(c("forma_pago")), "menciona_cuota": F.when(c(ID) % 5 == 0, "QUIZA").otherwise(c("menciona_cuota")),
+        "intencion": F.regexp_replace("intencion", "^media$", "mediana"), "objecion": F.regexp_replace("objecion", "^precio$", "caro")})
+    moved = d.clean_leads.withColumn("punto_venta_id", c("punto_venta_id") + F.when(c("lead_id") % 10 == 0, 100_000).otherwise(0))
+    points = serving.points_of_sale(d.clean_leads, d.advisors)
+    return quality.union_logs(
+        quality.domain_violations(leads, "lead"), quality.domain_violations(extractions, "extraccion"), quality.domain_violations(d.messages, "mensaje"), quality.domain_violations(d.advisors, "asesor"),
+        quality.domain_violations(d.assignment.withColumn("asesor_id", F.coalesce("asesor_id", F.lit(0))), "asignacion"), quality.dangling(moved, "lead", "lead_id", "punto_venta_id", points, "punto_venta_id"))
+
+
 # --- views ------------------------------------------------------------------------------------
 @reg.query("w5_latest_version", with_ctes("SELECT lead_id, fecha_corte, version_score, prioridad FROM (SELECT *, row_number() OVER (PARTITION BY lead_id, fecha_corte ORDER BY CAST(substr(version_score, 2) AS INT) DESC) AS k FROM versions) AS v WHERE k = 1"))
 def latest_version(spark, folder) -> DataFrame:
