@@ -190,7 +190,7 @@ def unseated(rows: DataFrame) -> DataFrame:
 def company_list(rows: DataFrame) -> DataFrame:
     df = rows.filter(F.col("estado") == "asignado")
     order = [("prioridad", False), ("fecha_registro", True), ("lead_id", True)]
-    return with_rank(df, [], order, [(F.col("prioridad"), False), (F.to_date("fecha_registro"), True)], "posicion")
+    return with_rank(df, [], order, [(F.col("prioridad"), False), (F.to_date("fecha_registro"), True), (F.hour("fecha_registro"), True)], "posicion")
 
 
 def advisor_rows(rows: DataFrame) -> DataFrame:
