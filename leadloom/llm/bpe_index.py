@@ -21,14 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from leadloom.llm.common import per_step, texts
-from leadloom.llm.letters import LETTER, LOWER, NUMBER, OTHER
+from leadloom.llm.letters import LETTER, LOWER, NUMBER, OTHER, settled
 from leadloom.llm.token_counts import byte_letters
 
-#: The pattern of the vocabulary's pre-tokenizer (fixed value) with the library's classes, and the same for lower-case texts of ASCII only.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+")
+#: The pattern of the vocabulary's pre-tokenizer (fixed value), the same with the library's classes for rarer letters, and for lower-case texts of ASCII only.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+RARE_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
 #: Words whose encoding a Python worker remembers; beyond, it starts to remember anew with the next batch.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 
 
 def normalised(text: str) -> str:
@@ -37,7 +38,8 @@ def normalised(text: str) -> str:
         return text.lower()
     text = unicodedata.normalize("NFC", text)
     # str.lower() looks at neighbours for one letter only, the capital sigma.
-    return ("".join(c.lower() for c in text) if "Σ" in text else text.lower()).translate(LOWER)
+    text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return text if settled(text) else text.translate(LOWER)
 
 
 class WordBpe:
@@ -134,7 +136,7 @@ class WordBpe:
                 out.append(part)
             else:
                 part = normalised(part)
-                out += (ASCII_PIECES if part.isascii() else PIECES).findall(part)
+                out += (ASCII_PIECES if part.isascii() else PIECES if settled(part) else RARE_PIECES).findall(part)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:

@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd multipliers of two independent polynomial hashes, and words that a Python worker remembers.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 class _WordHashes(dict):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Code points that are letters, and numbers, only since Unicode 17 (first-last, hexadecimal).
 LATER_LETTERS = (
     "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D "
@@ -31,3 +33,10 @@ NUMBER = rf"[^\P{{N}}{_inside(LATER_NUMBERS)}]"
 OTHER = rf"(?:[^\s\p{{L}}\p{{N}}]|[{_inside(LATER_LETTERS)}{_inside(LATER_NUMBERS)}])"
 
 LOWER = {c: c + by for ranges, by in LATER_CAPITALS for a, b in _spans(ranges) for c in range(a, b + 1)}
+
+_BEYOND = re.compile("[\u0530-\U0010FFFF]")
+
+
+def settled(text: str) -> bool:
+    """Whether a text lies below the first code point that versions differ in, so that the plain classes hold."""
+    return _BEYOND.search(text) is None

@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from leadloom.llm.common import per_step, texts
-from leadloom.llm.letters import LETTER, NUMBER, OTHER
+from leadloom.llm.letters import LETTER, NUMBER, OTHER, settled
 
-#: The pattern of the vocabulary's pre-tokenizer (fixed value) with the library's classes, and the same for texts of ASCII only.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+")
+#: The pattern of the vocabulary's pre-tokenizer (fixed value), the same with the library's classes for rarer letters, and for texts of ASCII only.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+RARE_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Pieces whose counts a Python worker remembers; beyond, it starts to remember anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -101,7 +102,7 @@ class PieceCounter(dict):
         parts = self.special.split(text) if self.special else [text]
         n = len(parts) - 1
         for part in parts:
-            n += sum(map(self.__getitem__, (ASCII_PIECES if part.isascii() else PIECES).findall(part)))
+            n += sum(map(self.__getitem__, (ASCII_PIECES if part.isascii() else PIECES if settled(part) else RARE_PIECES).findall(part)))
         return n
 
 
