@@ -111,7 +111,9 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     found.write.bucketBy(buckets, "text_id").option("path", path).format("parquet").saveAsTable(name)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.table(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the plan holds files and buckets
+    return texts
 
 
 def _anchor_counts(length: int):
