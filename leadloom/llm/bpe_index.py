@@ -28,8 +28,8 @@ from leadloom.llm.token_counts import byte_letters
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 RARE_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
-#: Words whose encoding a Python worker remembers; beyond, it starts to remember anew with the next batch.
-REMEMBERED = 250_000
+#: Words whose encoding a Python worker remembers, in two halves; when the newer is full, it replaces the older one.
+REMEMBERED = 400_000
 
 
 def normalised(text: str) -> str:
@@ -61,6 +61,7 @@ class WordBpe:
         self.rank = {(a, b): rank for rank, (a, b, _) in enumerate(self.rules)}
         self.special_known = {s: (np.array([i], "<u4").tobytes(), s) for s, i in self.special_id.items()}
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """The symbols of each word after all merges, by the pair occurrence index over all words."""
@@ -118,10 +119,11 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that are not yet known, all in one index."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(words)
+        if 2 * (len(self.known) + len(words)) > REMEMBERED:  # what was used lately stays, as the older half
+            self.known, self.older = {}, self.known
         self.known.update(self.special_known)
+        self.known.update((w, self.older[w]) for w in words if w in self.older and w not in self.known)
+        new = [w for w in words if w not in self.known]
         for word, ids in zip(new, self.merged(new), strict=True):
             self.known[word] = (np.array(ids, "<u4").tobytes(), self.decoded(ids))
 
