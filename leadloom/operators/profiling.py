@@ -47,8 +47,7 @@ def chat_profile(chats: DataFrame, messages: DataFrame) -> DataFrame:
 
 def date_classes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Date format and slash class frequencies per column."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("columna"), dates.date_format_class(F.col(c)).alias("formato"), dates.slash_class(F.col(c)).alias("barras")) for c in columns))
-    return df.select(F.explode(pairs).alias("p")).groupBy("p.columna", "p.formato", "p.barras").agg(F.count(F.lit(1)).alias("n"))
+    return dates.with_classes(df, columns).select(F.explode(F.array(*columns)).alias("p")).groupBy("p.columna", "p.formato", "p.barras").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_table(df: DataFrame) -> DataFrame:

@@ -474,3 +474,26 @@ def test_waits_outside_the_window(spark):
     late = spark.createDataFrame([("Caliente", 1), ("Caliente", 9)], "temperatura string, espera int")
     with pytest.raises(Exception, match="no factor"):
         evaluation.expected_closings(late, base, factors).collect()
+
+
+def test_date_classes_count_every_text(spark):
+    texts = [None, " ", "2001-02-03 04:05:06", " 2001-02-03T04:05:06", "03-02-2001", "13/02/2001 10:00", "02/13/2001 10:00", "05/05/2001 10:00", "05/06/2001 10:00", "5/6/2001"]
+    rows = profiling.date_classes(spark.createDataFrame([(t, t) for t in texts], "a string, b string"), ["a", "b"]).collect()
+    kinds = {("vacio", None): 2, ("iso_espacio", None): 1, ("iso_t", None): 1, ("dd-mm-yyyy", None): 1, ("barras", "ddmm"): 1, ("barras", "mmdd"): 1,
+             ("barras", "igual"): 1, ("barras", "ambigua"): 1, ("desconocido", None): 1}
+    assert {(r.columna, r.formato, r.barras): r.n for r in rows} == {(c, *k): n for c in "ab" for k, n in kinds.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_read_once_per_row(spark):
+    """Merged projections would strip a date again for each use of it, and clean a model text for each row instead of each distinct text."""
+    raw = spark.createDataFrame([("03/04/2001 10:00", "04-04-2001", "red ring")], "fecha_registro string, fecha_primer_contacto string, t string")
+    strips = r"^\s+|\s+$"
+    assert _plan(profiling.date_classes(raw, ["fecha_registro", "fecha_primer_contacto"])).count(strips) == 2
+    assert _plan(standardize.with_dates(raw)).count("inline(") == 4
+    names = spark.createDataFrame([("red ring", "red", "ring")], "sku string, marca string, linea string")
+    below = _plan(catalogue.match_texts(raw, "t", names)).split("Aggregate [t#")
+    assert len(below) > 1 and not any("translate" in line for part in below[1:] for line in part.splitlines()[1:3])
