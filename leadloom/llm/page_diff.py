@@ -3,8 +3,8 @@
 Pages are cut into lines, one for each block. Pages of a host lie in the order of their URL paths, and
 each is paired with the neighbour whose path is nearest. The lines of a pair are aligned by a longest
 common subsequence; what both pages say is their template and is deleted. Elements that declare what
-they are (navigation, footers, adverts, forms, comments) are deleted on any page, and what an article
-element holds is the article even if a neighbour repeats it: such a page is decided without its pair.
+they are (navigation, footers, adverts, forms, comments) are deleted on any page. Articles quote each
+other, so a line that an article element holds is template only if four neighbours repeat it.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "sponsor", "s
          "respond", "related", "recommended", "recommendations", "pagination", "pager", "search", "widget", "widgets", "copyright", "toolbar", "skip", "hidden"}
 OUTER_MARKS = {"header", "masthead", "banner", "topbar"}
 ARTICLE, OPEN, GONE = 2, 1, 0
+WITNESSES = 4  # neighbours that must all repeat a line of an article element before it is template
+NEAREST = 2 * WITNESSES  # different pages a page is compared with at most
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -168,13 +170,25 @@ def common(a: list[str], b: list[str]) -> list[int]:
 def main_text(page: Page, others: list[Page]) -> str:
     """The article of a page, given the pages of the nearest URLs, nearest first.
 
-    What an article element holds is kept. Without one, the lines outside deleted elements are kept that
-    the nearest page does not share. A page of the same lines is a copy, not a witness of the template. Where
-    a page shares more than four fifths of these, it may be a revision or the template may be long: then the
-    next one decides, and if all share so much, what all of them share goes."""
-    if ARTICLE in page.kinds:
-        return " ".join(t for t, k in zip(page.lines, page.kinds, strict=True) if k == ARTICLE)
-    mine = shown(page)
+    The lines of the page outside deleted elements are aligned with those of each nearest page; a page of the
+    same lines is a copy, not a witness of the template. Without an article element, the lines are kept that
+    the nearest page does not share. Where a page shares more than four fifths of these, it may be a revision
+    or the template may be long: then the next one decides, and if all share so much, what all of them share
+    goes. Of the lines of an article element, those go that WITNESSES nearest pages share, all of them; a page
+    that shares more than a fifth of the article quotes or revises it and is no witness."""
+    mine, article = shown(page), held(page)
+    if not any(article):
+        return _text(mine, _template(mine, others))
+    notices = _notices(mine, article, others)
+    return _text(mine, {i for i, own in enumerate(article) if not own or i in notices})
+
+
+def _text(lines: list[str], gone: set[int]) -> str:
+    return " ".join(t for i, t in enumerate(lines) if i not in gone)
+
+
+def _template(mine: list[str], others: list[Page]) -> set[int]:
+    """Positions of the lines of a page without an article element that its neighbours say too."""
     size = sum(map(len, mine))
     by_all: set[int] | None = None
     for other in others:
@@ -186,7 +200,26 @@ def main_text(page: Page, others: list[Page]) -> str:
         if 5 * sum(len(mine[i]) for i in shared) <= 4 * size:
             by_all = shared
             break
-    return " ".join(t for i, t in enumerate(mine) if i not in (by_all or ()))
+    return by_all or set()
+
+
+def _notices(mine: list[str], article: bytes, others: list[Page]) -> set[int]:
+    """Positions of the article lines that all of WITNESSES neighbours say too; none with fewer witnesses."""
+    size = sum(len(t) for t, own in zip(mine, article, strict=True) if own)
+    by_all: set[int] | None = None
+    seen = 0
+    for other in others:
+        theirs = shown(other)
+        if theirs == mine:
+            continue
+        shared = {i for i in common(mine, theirs) if article[i]}
+        if 5 * sum(len(mine[i]) for i in shared) > size:
+            continue
+        by_all = shared if by_all is None else by_all & shared
+        seen += 1
+        if not by_all or seen == WITNESSES:
+            break
+    return by_all if by_all and seen == WITNESSES else set()
 
 
 def shown(page: Page) -> list[str]:
@@ -194,26 +227,48 @@ def shown(page: Page) -> list[str]:
     return [t for t, k in zip(page.lines, page.kinds, strict=True) if k != GONE]
 
 
+def held(page: Page) -> bytes:
+    """For each shown line whether an article element holds it."""
+    return bytes(k == ARTICLE for k in page.kinds if k != GONE)
+
+
 @dataclass
 class Run:
-    """Neighbouring rows of one host whose pages have the same lines: the first and last path, and the rows not told yet."""
+    """Neighbouring rows of one host whose pages have the same shown lines: the first and last path, and the rows
+    not told yet, each with which of the lines its article elements hold."""
 
     host: str | None
-    page: Page
+    lines: list[str]
     first: str
     last: str
     rows: list[tuple]
 
-    def joined(self, host: str | None, page: Page) -> bool:
-        return self.host == host and shown(self.page) == shown(page)
+    @property
+    def open_page(self) -> Page:
+        return Page(self.lines, [OPEN] * len(self.lines))
+
+
+def nearest(path: str, earlier: list[Run], later: list[Run]) -> list[int]:
+    """Numbers of the nearest runs, by the beginning that their paths share: -1 is the first before, 1 the first after."""
+    back = [len(commonprefix([r.last, path])) for r in earlier]
+    ahead = [len(commonprefix([r.first, path])) for r in later]
+    out, i, j = [], 0, 0
+    while len(out) < NEAREST and (i < len(back) or j < len(ahead)):
+        if j == len(ahead) or i < len(back) and back[i] >= ahead[j]:
+            i += 1
+            out.append(-i)
+        else:
+            j += 1
+            out.append(j)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
     Pages are sorted by host, path and id in ranges, so a host with a third of all pages is spread; a
-    task reads its range as a stream and holds three pages, and ids and URLs of a run of copies. A page's
-    neighbours are the nearest of its range, before and after, that have other lines. A page without one or
+    task reads its range as a stream and holds the lines of seventeen different pages, and ids and URLs of their
+    copies. A page's neighbours are the nearest of its range, before and after, that have other lines. A page without one or
     with a null URL is read by its elements alone. Null
     or empty html: an empty text. Broken markup: elements end where their parents end, a torn tag at the
     end is dropped. Repeated rows are each other's copies: a row each. Null ids: ordered first. Empty
@@ -226,48 +281,51 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = run = None
-
-        def decided(after: Run | None) -> Iterator[tuple]:
-            witnesses = [(x, at) for x, at in ((before, before and before.last), (after, after and after.first)) if x is not None and run.host is not None and x.host == run.host]
-            told_: dict[bool, str] = {}
-            for page_id, url, path in run.rows:
-                near = [len(commonprefix([at, path])) for _, at in witnesses]
-                turned = len(near) == 2 and near[1] > near[0]
-                if turned not in told_:
-                    told_[turned] = main_text(run.page, [x.page for x, _ in (witnesses[::-1] if turned else witnesses)])
-                yield page_id, url, told_[turned]
+        past: list[Run] = []  # runs told, the nearest first
+        ahead: list[Run] = []  # runs not told yet, in order
+
+        def decided() -> Iterator[tuple]:
+            """Tells the first run that is left, by up to NEAREST different pages of its host on each side."""
+            run = ahead.pop(0)
+            same = [] if run.host is None else [r for r in past if r.host == run.host]
+            later = [] if run.host is None else [r for r in ahead if r.host == run.host]
+            told_: dict[tuple, str] = {}
+            for page_id, url, path, article in run.rows:
+                by = nearest(path, same, later)
+                key = (article, *by)
+                if key not in told_:
+                    page = Page(run.lines, [ARTICLE if own else OPEN for own in article])
+                    told_[key] = main_text(page, [(same[-k - 1] if k < 0 else later[k - 1]).open_page for k in by])
+                yield page_id, url, told_[key]
             run.rows.clear()
+            past.insert(0, run)
+            del past[NEAREST:]
 
         def rows_() -> Iterator[tuple]:
-            nonlocal before, run
+            masks: dict[bytes, bytes] = {}
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path")]
                 sources = batch.column("html")
                 for page_id, url, host, path, i in zip(*columns, range(batch.num_rows), strict=True):
                     page, path = read_page(sources[i].as_py()), path or ""
-                    if run is None or not run.joined(host, page):
-                        new = Run(host, page, path, path, [])
-                        if run is not None:
-                            yield from decided(new)
-                        before, run = run, new
-                    run.last = path
-                    if ARTICLE in page.kinds:
-                        yield page_id, url, main_text(page, [])
-                    else:
-                        if ARTICLE in run.page.kinds:
-                            run.page = page
-                        run.rows.append((page_id, url, path))
-            if run is not None:
-                yield from decided(None)
-
-        out, held = [], 0
+                    lines, article = shown(page), held(page)
+                    if not ahead or ahead[-1].host != host or ahead[-1].lines != lines:
+                        while ahead and (len(ahead) > NEAREST or ahead[0].host != host):
+                            yield from decided()
+                        ahead.append(Run(host, lines, path, path, []))
+                        masks.clear()
+                    ahead[-1].last = path
+                    ahead[-1].rows.append((page_id, url, path, masks.setdefault(article, article)))
+            while ahead:
+                yield from decided()
+
+        out, size = [], 0
         for row in rows_():
             out.append(row)
-            held += len(row[2])
-            if len(out) >= 1000 or held > 4_000_000:
+            size += len(row[2])
+            if len(out) >= 1000 or size > 4_000_000:
                 yield made(out)
-                out, held = [], 0
+                out, size = [], 0
         if out:
             yield made(out)
 

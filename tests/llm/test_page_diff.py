@@ -89,3 +89,21 @@ def test_copies_and_long_templates(spark):
     # A revision is passed over where another page is a witness.
     story = "The same long story. " * 20
     assert text(short.format(story + "<p>New"), short.format(story + "<p>Old"), short.format("Other")) == story.strip() + " New"
+
+
+def test_a_line_that_articles_of_four_neighbours_repeat_is_template():
+    def page(i, notice="Read our new terms of use."):
+        return f"<html><body><article><p>Words of article {i}, which no other page of this host has said before, and which go on for as long as it takes to be far longer than any notice would be.</p><p>{notice}</p></article></body></html>"
+
+    plain = "Words of article 0, which no other page of this host has said before, and which go on for as long as it takes to be far longer than any notice would be."
+    assert text(page(0), *map(page, range(1, 5))) == plain
+    assert text(page(0), *map(page, range(1, 4))) == f"{plain} Read our new terms of use."  # too few to tell a notice from a quotation
+    assert text(page(0), page(1, "Other."), *map(page, range(2, 5))) == f"{plain} Read our new terms of use."
+    assert text(page(0, "A"), *(page(0, x) for x in "BCDEF")) == f"{plain} A"  # revisions are no witnesses
+
+
+def test_article_lines_are_differenced_over_a_table(spark):
+    words = "the words of an article that no other page of this host has ever said, and that are far longer than a notice, number"
+    rows = [(i, f"http://h/{i:03}", f"<article><p>{words} {i}</p><p>Read our new terms.</p></article>") for i in range(40)]
+    got = pd_.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"{words} {i}") for i in range(40)]
