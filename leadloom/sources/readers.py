@@ -16,6 +16,10 @@ CHAT_SCHEMA = T.StructType([
     T.StructField("fecha_inicio", T.StringType()), T.StructField("mensajes", MESSAGES)])
 
 
+#: Lines of a block (a power of two), and partitions for each split: the sorted lines of a task stay a bounded part of a split.
+_BLOCK_BITS, _PARTS = 16, 4
+
+
 def missing_columns(df: DataFrame, required) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
@@ -24,30 +28,35 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of CSV files as text: `archivo`, `cabecera` (first record of its file), `registro`.
 
     Files are read as lines by as many tasks as they have splits. A line begins a record if an even number of quotes
-    stands before it in its file: quotes are added up by split, then by line inside a split. Lines that are records by themselves pass as
-    they are; only those of records with line breaks are gathered, also across splits.
+    stands before it in its file: quotes are added up by piece (a block of lines of a split), then by line inside a piece. Lines that are
+    records by themselves pass as they are; only those of records with line breaks are gathered, also across pieces.
+    The lines are dealt by piece to a number of partitions that follows the splits: lines with their path shrink so much in a
+    shuffle that partitions joined by their size there would be too large to sort.
     """
-    place = [F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("tramo")]
+    place = [F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("inicio")]
     lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("linea"), "value", F.regexp_count("value", F.lit('"')).alias("comillas"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _PARTS * lines.rdd.getNumPartitions())  # fewer would be dealt again for the join
+    lines = lines.select("archivo", F.struct("inicio", F.shiftright("linea", _BLOCK_BITS).alias("bloque")).alias("tramo"), "linea", "value", "comillas")
     totals = lines.groupBy("archivo", "tramo").agg(F.sum("comillas").alias("comillas"))
-    earlier = F.coalesce(F.sum("comillas").over(Window.partitionBy("archivo").orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("archivo", "tramo", earlier.alias("antes"))
+    in_file = Window.partitionBy("archivo").orderBy("tramo")
+    earlier = F.coalesce(F.sum("comillas").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("archivo", "tramo", earlier.alias("antes"), (F.row_number().over(in_file) == 1).alias("primero"))
     inside = Window.partitionBy("archivo", "tramo").orderBy("linea")
-    seen = lines.join(totals, ["archivo", "tramo"]).withColumn("antes", F.col("antes") + F.coalesce(F.sum("comillas").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    seen = lines.repartition(parts, "archivo", "tramo").join(totals, ["archivo", "tramo"]).withColumn("antes", F.col("antes") + F.coalesce(F.sum("comillas").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     begins = F.col("antes") % 2 == 0
     seen = seen.withColumns({"empieza": begins, "n": F.sum(begins.cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     alone = F.col("empieza") & (F.col("comillas") % 2 == 0)
-    single = seen.filter(alone).select("archivo", ((F.col("tramo") == 0) & (F.col("n") == 1)).alias("cabecera"), F.col("value").alias("registro"))
+    single = seen.filter(alone).select("archivo", (F.col("primero") & (F.col("n") == 1)).alias("cabecera"), F.col("value").alias("registro"))
     torn = seen.filter(~alone)
-    # Lines before the first beginning of a split go on with the last record of the nearest split that has one.
-    last = torn.filter("n > 0").groupBy("archivo", "tramo").agg(F.max("n").alias("ultimo"))
+    # Lines before the first beginning of a piece go on with the last record of the nearest piece that has one.
+    last = torn.filter("n > 0").groupBy("archivo", "tramo", "primero").agg(F.max("n").alias("ultimo"))
     heads = torn.filter("n = 0").select("archivo", "tramo").distinct()
     back = Window.partitionBy("archivo").orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)
-    owner = last.unionByName(heads, allowMissingColumns=True).groupBy("archivo", "tramo").agg(F.max("ultimo").alias("ultimo"))
-    owner = owner.withColumn("de", F.last(F.when(F.col("ultimo").isNotNull(), F.struct("tramo", "ultimo")), ignorenulls=True).over(back)).select("archivo", "tramo", "de")
-    placed = torn.join(owner, ["archivo", "tramo"], "left").withColumn("de", F.when(F.col("n") > 0, F.struct("tramo", F.col("n").alias("ultimo"))).otherwise(F.col("de")))
+    owner = last.unionByName(heads, allowMissingColumns=True).groupBy("archivo", "tramo").agg(F.max("ultimo").alias("ultimo"), F.max("primero").alias("primero"))
+    owner = owner.withColumn("de", F.last(F.when(F.col("ultimo").isNotNull(), F.struct("tramo", "ultimo", "primero")), ignorenulls=True).over(back)).select("archivo", "tramo", "de")
+    placed = torn.join(owner, ["archivo", "tramo"], "left").withColumn("de", F.when(F.col("n") > 0, F.struct("tramo", F.col("n").alias("ultimo"), "primero")).otherwise(F.col("de")))
     text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tramo", "linea", "value"))), lambda x: x["value"]), "\n")
-    joined = placed.groupBy("archivo", "de").agg(text_.alias("registro")).select("archivo", ((F.col("de.tramo") == 0) & (F.col("de.ultimo") == 1)).alias("cabecera"), "registro")
+    joined = placed.groupBy("archivo", "de").agg(text_.alias("registro")).select("archivo", (F.col("de.primero") & (F.col("de.ultimo") == 1)).alias("cabecera"), "registro")
     return single.unionByName(joined)
 
 

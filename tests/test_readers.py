@@ -28,3 +28,16 @@ def test_one_file_by_many_tasks(spark, tmp_path):
             spark.conf.set(key, value)
     want = sorted(tuple(v if v.strip() else None for v in r) for data in rows.values() for r in data)
     assert got == want
+
+
+def test_pieces_of_few_lines(spark, tmp_path, monkeypatch):
+    """A split is sorted by blocks of lines: records and the header are the same whatever the size of a block."""
+    monkeypatch.setattr(readers, "_BLOCK_BITS", 2)
+    names = fixed.REQUIRED["leads"]
+    rows = [[f"{i}", *(f"{n}\nline {i}\n\n,\"end\"" if (i + k) % 5 == 0 else f"{n}{i}" for k, n in enumerate(names[1:]))] for i in range(60)]
+    for f in range(2):
+        with open(tmp_path / f"{f}.csv", "w", newline="", encoding="utf-8") as file:
+            csv.writer(file, lineterminator="\n").writerows([names, *rows])
+    assert readers.csv_records(spark, str(tmp_path)).filter("cabecera").count() == 2
+    got = sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path), "leads").select(*names).collect())
+    assert got == sorted(2 * [tuple(r) for r in rows])
