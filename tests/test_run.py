@@ -118,3 +118,24 @@ def test_scope_reads_the_tenants_folders_only(spark):
     users = tables.materialize(spark.createDataFrame([("u", "T3", "gerente", None)], "user_id string, empresa_id string, rol string, asesor_id string"), "users")
     cut = serving.Scope(users, "u").of_tenant(leads)
     assert cut.count() == 10 and "dynamicpruning" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scope_over_joined_users_deals_nothing_by_tenant(spark):
+    """Users that come from a join look large to the planner; a tenant's rows must not meet in one task for that."""
+    leads = tables.by_partition(spark.range(200).selectExpr("id AS lead_id", "'T' || id % 2 AS empresa_id"), "leads", "empresa_id")
+    tenants, people = (tables.materialize(spark.range(3000).selectExpr(*c), "users") for c in (["'T' || id AS empresa_id"], ["'u' || id AS user_id", "'T' || id AS empresa_id"]))
+    users = people.join(tenants, "empresa_id").selectExpr("user_id", "empresa_id", "'gerente' AS rol", "CAST(NULL AS STRING) AS asesor_id")
+    me = serving.Scope(users.unionByName(users).unionByName(users.limit(0)), "u1")
+    for seen in (me.of_tenant(leads), me.managers_only(leads)):
+        assert {r.lead_id % 2 for r in seen.collect()} == {1} and seen.count() == 100
+        made = seen._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [empresa_id" in made and "SortMergeJoin [empresa_id" not in made
+
+
+def test_written_folders_are_sorted_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SORTED_ROWS", 40)
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'B' WHEN id % 10 <> 5 THEN 'A' END AS empresa_id")
+    made = tables.by_partition(rows, "few", "empresa_id")
+    per_task = made.groupBy(F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)).count().collect()
+    assert len(per_task) >= 20 and max(r["count"] for r in per_task) < 100
+    assert {tuple(r) for r in made.collect()} == {tuple(r) for r in rows.collect()} and made.count() == 1000
